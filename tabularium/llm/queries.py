@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import quality, simhash, token_counts
+from tabularium.llm import bpe, quality, simhash, token_counts
 from tabularium.llm.common import table
 
 
@@ -27,10 +27,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
