@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import bpe, quality, simhash, token_counts
+from tabularium.llm import bpe, jpeg_media, quality, simhash, token_counts
 from tabularium.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jpeg_media.read_media(jpeg_media.to_media(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -36,6 +41,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_jpeg_media": op6_jpeg_media,
     "op8_bpe": op8_bpe,
 }
 
