@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 #: What the symbol count counts. Fixed values.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rows of the sample on which cost and selectivity are estimated.
-SAMPLE_ROWS = 2_000
+#: Rows of the sample on which cost and selectivity are estimated, and the bytes of the
+#: longest text that takes part in it. The sample goes through the driver: 50 MB at most,
+#: a few MB for texts of usual lengths.
+SAMPLE_ROWS, SAMPLE_BYTES = 512, 100_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -116,11 +118,12 @@ class Ranked:
 def estimate(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, runs: int = 2) -> list[Ranked]:
     """Cost and selectivity of each rule on ``sample_rows`` rows, best rejection per cost first.
 
-    The sample is the first rows that the scan gives; it is only for the order of the
-    rules, which no verdict depends on. A rule's cost is the least time of ``runs``
+    The sample is the first rows that the scan gives, so only a few of its files are
+    read; it is only for the order of the rules, which no verdict depends on. A rule's cost is the least time of ``runs``
     aggregates of its condition, less the time of one without a condition.
     """
-    sample = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).limit(sample_rows).persist()
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
+    sample = docs.sparkSession.createDataFrame(texts.take(sample_rows), "t string").persist()
 
     def timed(what: Column) -> tuple[float, int, int]:
         best = float("inf")
