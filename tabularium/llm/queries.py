@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import bpe, jpeg_media, quality, simhash, token_counts
+from tabularium.llm import bpe, jpeg_media, licenses, quality, simhash, token_counts
 from tabularium.llm.common import table
 
 
@@ -37,12 +37,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_jpeg_media": op6_jpeg_media,
     "op8_bpe": op8_bpe,
+    "op10_license_scans": op10_license_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
