@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import bpe, jpeg_media, licenses, quality, simhash, token_counts
+from tabularium.llm import bpe, jpeg_media, licenses, quality, simhash, token_counts, toxicity
 from tabularium.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_jpeg_media": op6_jpeg_media,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op10_license_scans": op10_license_scans,
 }
