@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,8 @@ TRAIN_ROWS, LEXICON, FEATURES = 12_000, 96, 4096
 #: A feature must occur in this many training rows.
 LEAST = 5
 THRESHOLD = 0.7
+#: Correlation from which voters are taken to repeat each other.
+REPEATS = 0.5
 #: Insults that vote even when the labels don't propose them.
 SEED_LEXICON = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "bastard", "imbecile")
 #: Patterns that vote toxic: shouted words, and insults addressed to a reader.
@@ -43,10 +44,32 @@ PATTERNS = (
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Lengths of word beginnings.
+HEADS = (3, 4, 5, 6)
+
+
 def features(text: str) -> set[str]:
-    """Distinct words in lower case, and as ``^abc`` their beginnings of 3 to 5 letters."""
-    out = set(_WORD.findall(text.lower()))
-    return out | {"^" + w[:n] for w in out for n in (3, 4, 5) if len(w) >= n}
+    """What a text shows: words in lower case and their beginnings as ``^abc``.
+
+    ``^abc#`` stands for a beginning that at least two words share, ``^abc%`` for one
+    that at least two words and one of a hundred have.
+    """
+    words = _WORD.findall(text.lower())
+    n = len(words)
+    own = Counter(words)
+    heads: Counter[str] = Counter()
+    for w, k in own.items():
+        for size in HEADS:
+            if len(w) < size:
+                break
+            heads["^" + w[:size]] += k
+    out = set(own) | set(heads)
+    for h, k in heads.items():
+        if k >= 2:
+            out.add(h + "#")
+            if 100 * k >= n:
+                out.add(h + "%")
+    return out
 
 
 def is_held_out(id_col: str | Column) -> Column:
@@ -55,26 +78,35 @@ def is_held_out(id_col: str | Column) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-@dataclass
 class Model:
     """A calibrated linear classifier over features."""
 
-    weights: dict[str, float]
-    bias: float
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.weights, self.bias = weights, bias
+        self.words = {f: w for f, w in weights.items() if f[0] != "^"}
+        self.starts = frozenset(f[1:4] for f in weights if f[0] == "^")
 
     def score(self, text: str) -> float:
+        """Equal to the sigmoid of the summed weights of ``features(text)``."""
+        words = _WORD.findall(text.lower())
+        n = len(words)
+        own = Counter(words)
+        z = self.bias + sum(self.words[w] for w in self.words.keys() & own.keys())
+        heads: Counter[str] = Counter()
+        starts = self.starts
+        for w in own:
+            if w[:3] in starts:
+                for size in HEADS:
+                    if len(w) < size:
+                        break
+                    heads["^" + w[:size]] += own[w]
         get = self.weights.get
-        words = set(_WORD.findall(text.lower()))
-        z = self.bias
-        heads: set[str] = set()
-        for w in words:
-            z += get(w, 0.0)
-            if len(w) >= 3:
-                heads.add(w[:5])
-                heads.add(w[:4])
-                heads.add(w[:3])
-        for h in heads:
-            z += get("^" + h, 0.0)
+        for h, k in heads.items():
+            z += get(h, 0.0)
+            if k >= 2:
+                z += get(h + "#", 0.0)
+                if 100 * k >= n:
+                    z += get(h + "%", 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -85,8 +117,9 @@ def label_model(votes: np.ndarray, clean: np.ndarray, prior: float, gold_fired:
     clean voter fires. A voter that abstains says nothing. Expectation-maximisation
     alternates posteriors (log-odds of the votes) and accuracies (mean posterior where
     a voter fired, with the gold precision as a prior of ten votes). A voter's log-odds
-    are divided by one plus its positive correlations with other voters among likely
-    toxic rows, so that a group of voters that see the same thing counts about once.
+    are divided by one plus twice what its correlations with other voters among likely
+    toxic rows have above ``REPEATS``, so that voters that see the same thing count
+    about once together; weaker ones come with a text's length and are no repetition.
     """
     n, m = votes.shape
     fired = votes.sum(0)
@@ -112,7 +145,7 @@ def label_model(votes: np.ndarray, clean: np.ndarray, prior: float, gold_fired:
             sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
             corr = cov / np.outer(sd, sd)
             np.fill_diagonal(corr, 1.0)
-            discount = 1 / (1 + np.clip(corr - np.eye(m), 0, None).sum(1))
+            discount = 1 / (1 + 2 * np.clip(corr - np.eye(m) - REPEATS, 0, None).sum(1))
         elif done and k > 10:
             break
     return q, acc, corr
@@ -171,6 +204,21 @@ def _fallback() -> Model:
     return Model(dict.fromkeys(SEED_LEXICON, 3.0), -2.0)
 
 
+def propose(tallied: list[tuple[str, int, int]]) -> list[str]:
+    """Lexicon entries from (feature, toxic rows, clean rows), the best first.
+
+    An entry's rows are toxic in four of five cases, at least. Of features that begin
+    alike and occur equally often only the first is taken: they see the same rows.
+    """
+    out, met = [], set()
+    for f, toxic, clean in tallied:
+        key = (f.lstrip("^")[:3], toxic, clean)
+        if toxic >= LEAST and toxic >= 4 * clean and key not in met:
+            met.add(key)
+            out.append(f)
+    return out[:LEXICON] + [w for w in SEED_LEXICON if w not in out]
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
     """(id, toxic, text) of at most ``rows`` labelled rows outside the held-out third."""
     gold = (
@@ -219,9 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     names = [r.feature for r in tallied]
     number = {f: k for k, f in enumerate(names)}
-    # A lexicon entry occurs in toxic rows at four times its rate in clean rows, at least.
-    lexicon = [r.feature for r in tallied if r.toxic >= LEAST and r.toxic / toxic >= 4 * (r.clean + 0.5) / (n - toxic)][:LEXICON]
-    lexicon += [w for w in SEED_LEXICON if w not in lexicon]
+    lexicon = propose([(r.feature, r.toxic, r.clean) for r in tallied])
     if not number:
         return _fallback()
 
