@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import bpe, jpeg_media, licenses, quality, simhash, token_counts, toxicity
+from tabularium.llm import bpe, jpeg_media, licenses, quality, simhash, token_counts, toxicity, url_filter
 from tabularium.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_url_filters": op2_url_filters,
     "op3_simhash": op3_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_jpeg_media": op6_jpeg_media,
