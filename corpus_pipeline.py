@@ -1,24 +1,54 @@
-"""The corpus pipeline: stages over documents, each of one operator."""
+"""The corpus pipeline: stages over documents, each of one operator of tabularium.llm.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is
+written to the shared folder before the next one reads it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import quality, simhash
+from tabularium.llm import bpe, mixing, quality, simhash, toxicity
 from tabularium.llm.common import materialize, table
+from tabularium.llm.queries import tokenizer_file
+
 
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that are predicted toxic go."""
+    return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that a rule rejects go."""
     return quality.keep_good(docs)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: one document of each component stays, that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: documents are sampled towards the target shares of sources, languages and topics."""
+    return mixing.sample(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE: token ids of every whole text, with the digests of ids and decoded text."""
+    path = tokenizer_file("word_bpe_49k.json")
+    return bpe.digests(bpe.encode(docs, path), path, keep_ids=True)
+
+
+STAGES = [
+    ("toxicity", civil),
+    ("quality rules", good),
+    ("SimHash near-dedup", distinct),
+    ("mixing", mixed),
+    ("BPE", encoded),
+]
 
-#: SQL can't express the trained and hashed stages; tests compare run() with a brute-force version.
+#: SQL can't express the trained, hashed and encoded stages; tests compare run() with a
+#: brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import bpe, jpeg_media, licenses, quality, simhash, token_counts, toxicity, url_filter
+from tabularium.llm import bpe, jpeg_media, licenses, mixing, quality, simhash, token_counts, toxicity, url_filter, warc
 from tabularium.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
@@ -53,11 +61,25 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filters": op2_url_filters,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_jpeg_media": op6_jpeg_media,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
+    "op9_mixing": op9_mixing,
     "op10_license_scans": op10_license_scans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+}
