@@ -5,13 +5,14 @@ splitting never crosses, and encodes each distinct word once:
 
 1. Each task lists the distinct words of its blocks of documents. A block is a run of
    ``BLOCK_ROWS`` rows of one input file, known by the file and the rows' numbers.
-2. The (word, block) pairs are shuffled and sorted by word. The library encodes each
-   run's word once; every block that has the word gets its ids.
-3. The pairs, now with ids, are written by block: the block's part of the word table.
+   Words are dealt to buckets by a hash; a block's words in a bucket are one packed row.
+2. These rows are shuffled by bucket. The library encodes a bucket's distinct words
+   once; every block that has them gets their ids.
+3. The packed words, now with ids, are written by block: its part of the word table.
 4. Documents are read again. Each block's rows are joined with its part of the table,
    word by word in the order of their positions, so no text or position is shuffled.
 
-A hot word costs one pair a block, not one a place, and a task holds the words of one
+A hot word costs one entry a block, not one a place, and a task holds the words of one
 block. The written table ends the lineage: a lost task reads it again.
 
 Decoding joins ids with the tokenizer's id-to-piece table, whose size is the
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,9 +34,12 @@ from pyspark.sql import types as T
 
 from tabularium.llm.common import file_system, located, shared_dir, utf8
 
-BLOCK_ROWS = 8192
-#: Words that a task holds before it hands a part of a block's list on.
-WORDS_HELD = 1_000_000
+BLOCK_ROWS = 4096
+#: Words that a task holds before it hands a part of a block's list on, and encoded
+#: words that it keeps; past that it starts anew, at the price of encoding some again.
+WORDS_HELD, WORDS_KNOWN = 1_000_000, 1_000_000
+#: Buckets of words: as many as the session's shuffle partitions, between these.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 8192
 
 
 def load(path: str):
@@ -48,49 +53,70 @@ def load(path: str):
     return tok
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block) for the distinct words of each block."""
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def out(block, words):
-        words = list(words)
-        for at in range(0, len(words), 50_000):
-            part = pa.array(words[at : at + 50_000], pa.binary())
-            yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), block, np.int64))], names=["word", "block"])
 
-    now, words = None, set()
-    for b in batches:
-        for block, text in zip(b.column(0).to_pylist(), utf8(b, "text"), strict=True):
-            if block != now or len(words) > WORDS_HELD:
-                yield from out(now, words)
-                now, words = block, set()
-            words.update((text or b"").split())
-    yield from out(now, words)
+def _unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _lister(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, block, words): the distinct words of each block, sorted and packed by bucket."""
+
+    def out(block: int, words: set[bytes]) -> pa.RecordBatch:
+        dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+        for w in words:
+            dealt[zlib.crc32(w) % buckets].append(w)
+        rows = [(k, block, _pack(b" ".join(sorted(d)))) for k, d in enumerate(dealt) if d]
+        kinds = (pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words = None, set()
+        for b in batches:
+            for block, text in zip(b.column(0).to_pylist(), utf8(b, "text"), strict=True):
+                if (block != now or len(words) > WORDS_HELD) and words:
+                    yield out(now, words)
+                    words = set()
+                now = block
+                words.update((text or b"").split())
+        if words:
+            yield out(now, words)
+
+    return run
 
 
 def _encoder(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, words, sizes and ids) for packed words; a task encodes each distinct word once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches come sorted by word; each run of a word is encoded once."""
         tok = load(tokenizer)
-        last, ids = None, b""
+        known: dict[bytes, bytes] = {}
         for b in batches:
-            words = b.column(0).to_pylist()
-            new = list(dict.fromkeys(w for w in words if w != last))
-            known = {last: ids}
-            for w, e in zip(new, tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            got = [known[w] for w in words]
-            if words:
-                last, ids = words[-1], got[-1]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(got, pa.binary())], names=["block", "word", "ids"])
+            ids = []
+            for packed in b.column(2).to_pylist():
+                words = _unpack(packed).split()
+                if len(known) > WORDS_KNOWN:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                for w, e in zip(new, tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    known[w] = np.array(e.ids, "<u4").tobytes()
+                got = [known[w] for w in words]
+                sizes = np.array([len(x) // 4 for x in got], "<u4").tobytes()
+                ids.append(_pack(sizes + b"".join(got)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(ids, pa.binary())], names=["block", "words", "ids"])
 
     return run
 
 
 def word_table(blocks: DataFrame, tokenizer: str) -> str:
-    """Writes (block, word, ids) by block for rows (block, text); the folder's URI."""
-    pairs = blocks.select("block", "text").mapInArrow(_pairs, "word binary, block long")
-    coded = pairs.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(tokenizer), "block long, word binary, ids binary")
-    uri = shared_dir(blocks.sparkSession)
+    """Writes (block, words, ids) by block for rows (block, text); the folder's URI."""
+    spark = blocks.sparkSession
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS), MOST_BUCKETS)
+    listed = blocks.select("block", "text").mapInArrow(_lister(buckets), "bucket int, block long, words binary")
+    coded = listed.repartition(buckets, "bucket").mapInArrow(_encoder(tokenizer), "block long, words binary, ids binary")
+    uri = shared_dir(spark)
     coded.repartition("block").write.partitionBy("block").parquet(uri)
     return uri
 
@@ -104,8 +130,14 @@ def _part_of_table(uri: str, block: int) -> dict[bytes, bytes]:
     for f in store.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)):
         if f.path.endswith(".parquet"):
             with store.open_input_file(f.path) as src:
-                for b in pq.ParquetFile(src).iter_batches(columns=["word", "ids"]):
-                    out.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+                for b in pq.ParquetFile(src).iter_batches(64, columns=["words", "ids"]):
+                    for words, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                        words, ids = _unpack(words).split(), _unpack(ids)
+                        ends = np.cumsum(np.frombuffer(ids, "<u4", len(words))) * 4 + 4 * len(words)
+                        at = 4 * len(words)
+                        for w, end in zip(words, ends.tolist(), strict=True):
+                            out[w] = ids[at:end]
+                            at = end
     return out
 
 
