@@ -59,7 +59,9 @@ def with_mix64(df: DataFrame, key: Column, name: str) -> DataFrame:
     for shift, k in ((30, MIX1), (27, MIX2)):
         df = df.withColumn(v, F.col(v).bitwiseXOR(F.shiftrightunsigned(F.col(v), shift)))
         df = _times(df, v, k)
-    return df.withColumn(name, F.col(v).bitwiseXOR(F.shiftrightunsigned(F.col(v), 31))).drop(v)
+    # The generator is a fence: a later filter on the hash would otherwise be pushed below
+    # all steps, each written out as often as the next one uses it.
+    return df.withColumn(name, F.explode(F.array(F.col(v).bitwiseXOR(F.shiftrightunsigned(F.col(v), 31))))).drop(v)
 
 
 def unsigned_mod(v: Column, n: int) -> Column:
