@@ -35,8 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE: token ids of every whole text, with the digests of ids and decoded text."""
-    path = tokenizer_file("word_bpe_49k.json")
-    return bpe.digests(bpe.encode(docs, path), path, keep_ids=True)
+    return bpe.encode_and_decode(docs, tokenizer_file("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES = [

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabularium.llm.common import file_system, located, shared_dir, utf8
+from tabularium.llm.common import file_system, located, shared_dir, trimmed, utf8
 
 BLOCK_ROWS = 4096
 #: Words that a task holds before it hands a part of a block's list on, and encoded
@@ -114,8 +114,8 @@ def word_table(blocks: DataFrame, tokenizer: str) -> str:
     """Writes (block, words, ids) by block for rows (block, text); the folder's URI."""
     spark = blocks.sparkSession
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS), MOST_BUCKETS)
-    listed = blocks.select("block", "text").mapInArrow(_lister(buckets), "bucket int, block long, words binary")
-    coded = listed.repartition(buckets, "bucket").mapInArrow(_encoder(tokenizer), "block long, words binary, ids binary")
+    listed = blocks.select("block", "text").mapInArrow(trimmed(_lister(buckets)), "bucket int, block long, words binary")
+    coded = listed.repartition(buckets, "bucket").mapInArrow(trimmed(_encoder(tokenizer)), "block long, words binary, ids binary")
     uri = shared_dir(spark)
     coded.repartition("block").write.partitionBy("block").parquet(uri)
     return uri
@@ -141,23 +141,19 @@ def _part_of_table(uri: str, block: int) -> dict[bytes, bytes]:
     return out
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) for every row of ``docs``, as the library encodes the whole text.
-
-    Null texts count as empty and give no ids. Null ids and repeated rows keep their
-    rows; other columns are ignored; an empty table gives no rows.
-    """
+def _joined(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, fields: list[T.StructField], columns) -> DataFrame:
+    """Rows (id, …): ``columns(got)`` makes arrays of the rows' ids, given as bytes of 4 each."""
     at = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     block = F.xxhash64("__file", F.floor(F.col("__row") / BLOCK_ROWS).cast("long"))
     rows = at.select(block.alias("block"), "id", F.coalesce("text", F.lit("")).alias("text"))
     uri = word_table(rows, tokenizer)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, {}
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 1024)
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
                 got = []
                 for block, text in zip(b.column(0).to_pylist(), utf8(b, "text"), strict=True):
                     words = text.split()
@@ -165,11 +161,49 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         now, known = block, {}
                         known = _part_of_table(uri, block)
                     got.append(b"".join(map(known.__getitem__, words)))
-                ends = np.cumsum([0, *(len(x) // 4 for x in got)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
-                yield pa.RecordBatch.from_arrays([b.column(1), ids], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(1), *columns(got)], names=schema.names)
+
+    return rows.mapInArrow(trimmed(run), schema)
+
+
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def _ids_array(got: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in got)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>) for every row of ``docs``, as the library encodes the whole text.
 
-    return rows.mapInArrow(run, schema)
+    Null texts count as empty and give no ids. Null ids and repeated rows keep their
+    rows; other columns are ignored; an empty table gives no rows.
+    """
+    return _joined(docs, tokenizer, id_col, text_col, [IDS], lambda got: [_ids_array(got)])
+
+
+def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(id, [ids,] n_tokens, ids_sha256, decoded_sha256): ``encode``, then ``decode`` of its ids, in one task.
+
+    The digests are what is needed to compare with another encoder: of the ids as
+    little-endian 32-bit numbers, and of the decoded text in UTF-8. Edge cases as encode.
+    """
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    table: list[list[bytes | None]] = []
+
+    def columns(got: list[bytes]) -> list[pa.Array]:
+        if not table:
+            table.append(pieces_of(tokenizer))
+        digests = [
+            pa.array([len(x) // 4 for x in got], pa.int64()),
+            pa.array([sha(x) for x in got], pa.string()),
+            pa.array([sha(decode_ids(np.frombuffer(x, "<u4"), table[0])) for x in got], pa.string()),
+        ]
+        return [_ids_array(got), *digests] if keep_ids else digests
+
+    return _joined(docs, tokenizer, id_col, text_col, [IDS, *DIGESTS] if keep_ids else DIGESTS, columns)
 
 
 def pieces_of(tokenizer: str) -> list[bytes | None]:
@@ -205,24 +239,4 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
             text = pa.array([decode_ids(x, pieces) for x in _lists(b.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), text.cast(pa.string())], names=[id_col, "text"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, schema)
-
-
-def digests(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """(id, [ids,] n_tokens, ids_sha256, decoded_sha256): what is needed to compare with another encoder."""
-    names = [id_col, *["ids"] * keep_ids, "n_tokens", "ids_sha256", "decoded_sha256"]
-    kinds = [encoded.schema[id_col].dataType, *[T.ArrayType(T.IntegerType())] * keep_ids, T.LongType(), T.StringType(), T.StringType()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(tokenizer)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            ids = _lists(b.column(1))
-            cols = [
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([sha(np.ascontiguousarray(x, "<u4")) for x in ids], pa.string()),
-                pa.array([sha(decode_ids(x, pieces)) for x in ids], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(1)] * keep_ids, *cols], names=names)
-
-    return encoded.select(id_col, "ids").mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+    return encoded.select(id_col, ids_col).mapInArrow(trimmed(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabularium.llm.common import utf8
+from tabularium.llm.common import trimmed, utf8
 
 #: Blocks in a row of the image; one restart interval is one row.
 WIDTH = 192
@@ -432,7 +432,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary())], names=[id_col, "media"])
 
     schema = T.StructType([T.StructField(id_col, _like(docs, id_col)), T.StructField("media", T.BinaryType())])
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -466,4 +466,4 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[id_col, *names])
 
     schema = T.StructType([T.StructField(id_col, _like(media, id_col)), *T._parse_datatype_string(", ".join(fields)).fields])
-    return media.select(id_col, "media").mapInArrow(run, schema)
+    return media.select(id_col, "media").mapInArrow(trimmed(run), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabularium.llm.common import utf8
+from tabularium.llm.common import trimmed, utf8
 
 THRESHOLD = 0.8
 #: Phrases whose places are the base scan, and their labels. Fixed values.
@@ -157,7 +157,7 @@ def global_order(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -
                 n.update(known.intersection((t or b"").translate(WORDS).split()))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(trimmed(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r.word): r.n for r in rows.collect()}
 
 
@@ -182,7 +182,7 @@ def license_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *cols], names=schema.names)
 
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -215,4 +215,4 @@ def license_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
 
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(trimmed(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import LOWER, located, materialize, utf8
+from tabularium.llm.common import LOWER, located, materialize, trimmed, utf8
 from tabularium.llm.components import connected_components
 
 SEED = 42
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
             fp = np.array([fingerprint(t, width) for t in utf8(b, "__text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fp)], names=[*keep, "fp"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(trimmed(run), schema)
 
 
 def _stars(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +248,7 @@ def links(distinct: DataFrame, budget: int = 2, split_rows: int = 50_000, chunk_
         if rest is not None and len(rest[0]):
             yield from solve(rest)
 
-    return cells.mapInArrow(run, "u long, v long")
+    return cells.mapInArrow(trimmed(run), "u long, v long")
 
 
 def classes(fps: DataFrame, id_col: str = "doc_id", budget: int = 2, split_rows: int = 50_000) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import shared_dir, utf8
+from tabularium.llm.common import shared_dir, trimmed, utf8
 
 CACHE = "content_digest binary, n_tokens long, tokenizer_digest string"
 
@@ -89,7 +89,7 @@ def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text_col: str = "tex
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     known = _read(spark, cache).where(F.col("tokenizer_digest") == version).select("content_digest")
     texts = docs.select(F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)).alias("content_digest"), normalised(text_col).alias("text"))
-    once = texts.mapInArrow(_first_of_task, "content_digest binary, text string").repartition("content_digest")
+    once = texts.mapInArrow(trimmed(_first_of_task), "content_digest binary, text string").repartition("content_digest")
     missing = once.join(known, "content_digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text_col: str = "tex
                 n = count([t.decode("utf-8", "replace") for t in utf8(part, "text")])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["content_digest", "n_tokens"])
 
-    counts = missing.mapInArrow(encode, "content_digest binary, n_tokens long")
+    counts = missing.mapInArrow(trimmed(encode), "content_digest binary, n_tokens long")
     counts.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").parquet(cache)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabularium.llm.common import materialize
+from tabularium.llm.common import materialize, trimmed
 
 #: Bounds of the model: labelled rows, lexicon voters, features of the classifier.
 TRAIN_ROWS, LEXICON, FEATURES = 12_000, 96, 4096
@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = (F.col("toxic") + F.col("clean")) / n
     z = (t - c) / F.sqrt(seen * (1 - seen) * (1 / toxic + 1 / (n - toxic)) + 1e-12)
     tallied = (
-        sample.select("toxic", "text").mapInArrow(tally, "feature string, clean long, toxic long")
+        sample.select("toxic", "text").mapInArrow(trimmed(tally), "feature string, clean long, toxic long")
         .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where(F.col("toxic") + F.col("clean") >= LEAST)
         .orderBy(F.abs(z).desc(), "feature").limit(FEATURES).collect()
@@ -282,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(votes, pa.binary()), pa.array(ids, pa.binary())], names=["id", "toxic", "votes", "ids"])
 
     schema = T.StructType([sample.schema["id"], T.StructField("toxic", T.IntegerType()), T.StructField("votes", T.BinaryType()), T.StructField("ids", T.BinaryType())])
-    got = sorted(sample.select("id", "toxic", "text").mapInArrow(look, schema).collect(), key=lambda r: (str(r.id), bytes(r.ids)))
+    got = sorted(sample.select("id", "toxic", "text").mapInArrow(trimmed(look), schema).collect(), key=lambda r: (str(r.id), bytes(r.ids)))
     gold = np.array([r.toxic > 0 for r in got])
     m = len(lexicon) + len(PATTERNS)
     votes = np.array([np.unpackbits(np.frombuffer(r.votes, np.uint8), count=m) for r in got]).astype(bool)
@@ -310,7 +310,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "held_out", "score", "predicted"])
 
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return src.mapInArrow(run, T.StructType(fields))
+    return src.mapInArrow(trimmed(run), T.StructType(fields))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -327,4 +327,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for b in batches:
             yield b.filter(pa.array([model.score(x or "") < threshold for x in b.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
