@@ -45,6 +45,11 @@ def one_hot(c: Column, categories: list[str]) -> Column:
     return F.array(*((v == k).cast("double") for k in categories))
 
 
+def hot_bucket(bucket: Column) -> Column:
+    """An array of ``BUCKETS`` values, 1 in the bucket's place; all 0 without a bucket."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: (i == F.coalesce(bucket, F.lit(-1))).cast("double"))
+
+
 @dataclass
 class Feature:
     """How one column becomes features."""
@@ -86,7 +91,7 @@ class Encoder:
                 name = f"__{f.column}_bucket"
                 table = feature_buckets(joined, f.column).select(F.col("value").alias(f"{name}_v"), F.col("bucket").alias(name))
                 joined = joined.join(table, F.col(f.column).cast("string") == F.col(f"{name}_v"), "left").drop(f"{name}_v")
-                parts.append(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i, b=name: (i == F.coalesce(F.col(b), F.lit(-1))).cast("double")))
+                parts.append(hot_bucket(F.col(name)))
             elif self.stream:
                 parts.append(F.array(F.coalesce((parse(F.col(f.column)) - f.mean) / f.std, F.lit(0.0))))
             else:

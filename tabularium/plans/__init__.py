@@ -1 +1 @@
-"""Part of the tabularium engine."""
+"""Engine, catalogue store and front end."""

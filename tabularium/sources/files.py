@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +46,7 @@ def encoding_of(sample: bytes, final: bool = False) -> str:
 
 def delimiter_of(sample: str, suffix: str = ".csv") -> str:
     """The candidate that all of the first lines have equally often, and most often."""
-    lines = [x for x in sample.splitlines()[:20] if x.strip()][: 20 if len(sample) < SAMPLE_BYTES else 19]
+    lines = [re.sub(r'"(?:[^"]|"")*"', "", x) for x in sample.splitlines()[:20] if x.strip()][: 20 if len(sample) < SAMPLE_BYTES else 19]
     best = (0, "")
     for d in DELIMITERS:
         counts = {x.count(d) for x in lines}
@@ -133,7 +134,7 @@ def read_jsonl(spark: SparkSession, path: str, flat: bool = False) -> DataFrame:
 
 def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of lines that aren't objects, numbered from 1."""
-    numbered = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r\n?|\n")).alias("at", "value"))
+    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n?|\n")).alias("at", "value"))
     return numbered.where((F.trim("value") != "") & F.json_object_keys("value").isNull()).select((F.col("at") + 1).alias("line"), "value")
 
 
