@@ -104,12 +104,20 @@ def feature_buckets(values: DataFrame, col: str, buckets: int = 64) -> DataFrame
     return values.select(F.col(col).cast("string").alias("value")).where("value is not null").distinct().mapInPandas(run, "value string, bucket long")
 
 
-def context_key(c: Column) -> Column:
-    """The long of a context that isn't a number: blake2b of its text."""
+def context_key(c: Column, person: bytes = b"") -> Column:
+    """The long of a context that isn't a number: blake2b of its text under a tag.
+
+    An engine that tags its hashes splits texts alike only under the same tag.
+    """
 
     @F.pandas_udf("long")
     def of(values: pd.Series) -> pd.Series:
-        wrap = lambda u: u - (1 << 64) if u >> 63 else u
-        return values.map(lambda v: wrap(blake2b_long(str(v).encode(), b"context")))
+        def one(v):
+            if v is None:
+                return None
+            u = blake2b_long(str(v).encode(), person)
+            return u - (1 << 64) if u >> 63 else u
+
+        return values.map(one).astype("Int64")
 
     return of(c.cast("string"))

@@ -125,3 +125,25 @@ def dropped_columns(df: DataFrame, target: str) -> DataFrame:
     numeric = (F.col("full") > 0) & (F.col("num") >= NUMERIC_SHARE * F.col("full"))
     reason = F.when(F.col("full") == 0, "empty").when(F.col("leak"), "leak").when(numeric & (F.col("std") <= CONSTANT_STD), "constant").when(~numeric & (F.col("min") == F.col("max")), "constant")
     return wide.select(F.explode(rows).alias("r")).select("r.*").select("column_name", reason.alias("reason")).where("reason is not null")
+
+
+def numeric_scan(df: DataFrame, target: str, split: str = "split", most: int = 65) -> DataFrame:
+    """One row about an all-numeric table: rows, rows of each split, training means and
+    deviations by column, the target's sorted distinct texts and whether there are more
+    than ``most`` of them.
+
+    One aggregate for the numbers; distinct targets are combined in each task first and
+    cut one above the limit.
+    """
+    names = [c for c in df.columns if c not in (target, split)]
+    train = F.col(split) == "train"
+    x = {c: F.when(train, parse_number(F.col(c))) for c in names}
+    pairs = lambda f: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(f(x[c]) for c in names)))
+    std = lambda c: F.when(F.stddev_pop(c) > CONSTANT_STD, F.stddev_pop(c)).otherwise(1.0)
+    out = df.agg(
+        F.count(F.lit(1)).alias("rows"), *(F.count_if(F.col(split) == s).alias(s) for s in ("train", "validation", "test")),
+        pairs(F.avg).alias("means"), pairs(std).alias("stds"),
+    )
+    values = [r[0] for r in df.select(text(F.col(target)).alias("v")).distinct().limit(most + 1).collect()]
+    kept = sorted(values) if len(values) <= most else []
+    return out.withColumns({"targets": F.array(*map(F.lit, kept)).cast("array<string>"), "overflow": F.lit(len(values) > most)})

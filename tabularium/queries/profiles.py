@@ -189,3 +189,13 @@ def fitted_encoder(spark, sf):
     t = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     enc = prepare.fit_encoder(t.drop("o_orderkey"), "o_orderstatus")
     return enc.transform(t, ("o_orderkey",)).select("o_orderkey", "label", F.round(F.get("features", F.lit(0)), 6).alias("f0"), F.array_position("features", F.lit(1.0)).cast("int").alias("hot"))
+
+
+@query(f"""WITH {mix_ctes('lineitem', 'l_orderkey')}, s AS (SELECT *, {SPLIT_SQL} AS split FROM mixed)
+    SELECT count(*) AS rows, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test,
+    round(avg(l_quantity) FILTER (split = 'train'), 6) AS mean_quantity, round(stddev_pop(l_tax) FILTER (split = 'train'), 6) AS std_tax,
+    array_to_string(list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR))), ',') AS targets, false AS overflow FROM s""")
+def numeric_scan(spark, sf):
+    t = with_split(load(spark, sf, "lineitem"), F.col("l_orderkey")).select("l_quantity", "l_tax", "l_linenumber", "split")
+    r = profile.numeric_scan(t, "l_linenumber")
+    return r.select("rows", "train", "validation", "test", F.round(F.col("means")["l_quantity"], 6).alias("mean_quantity"), F.round(F.col("stds")["l_tax"], 6).alias("std_tax"), F.array_join("targets", ",").alias("targets"), "overflow")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabularium.functions.hashing import context_key
 from tabularium.operators import splits
 from tabularium.queries import SPLIT_SQL, load, mix_ctes, query
 
@@ -75,3 +76,10 @@ def resume_cursor(spark, sf):
 @query(f"WITH {mix_ctes('events', 'user_id')}, h AS (SELECT event_id, {SPLIT_SQL} AS split FROM mixed) SELECT event_id, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY event_id) AS k FROM h WHERE split <> 'train') WHERE k <= 32")
 def heldout_head(spark, sf):
     return splits.heldout_head(load(spark, sf, "events").select("event_id", "user_id"), ["event_id"], "user_id", 32).select("event_id", "split")
+
+
+@query()
+def text_context_split(spark, sf):
+    """Contexts that are texts: blake2b has no SQL, so tests compare it with Python."""
+    t = load(spark, sf, "documents").select("doc_id", "source", context_key(F.col("source")).alias("key"))
+    return splits.context_split(t, "key").drop("key")

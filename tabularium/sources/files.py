@@ -157,6 +157,36 @@ def read_parquet(spark: SparkSession, path: str, as_text: bool = True) -> DataFr
     return _trimmed(df.select(*(python_text(F.col(f"`{c}`"), k).alias(c) for c, k in df.dtypes))) if as_text else df
 
 
+def inspect_parquet(spark: SparkSession, path: str, rows: int = 20) -> dict:
+    """Rows, row groups and columns from the footers, and the first rows; the last column is the suggested target."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    df = spark.read.parquet(path)
+    groups = total = 0
+    for file in df.inputFiles():
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(where, conf))
+        try:
+            blocks = reader.getRowGroups()
+            groups += blocks.size()
+            total += reader.getRecordCount()
+        finally:
+            reader.close()
+    return {"rows": total, "row_groups": groups, "columns": df.columns, "target": df.columns[-1], "preview": [r.asDict() for r in df.limit(rows).collect()]}
+
+
+def read_numeric_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """A typed scan of a CSV file of finite numbers; anything else in a column that is read fails the query."""
+    header = spark.read.option("header", True).option("sep", delimiter).csv(path)
+    columns = [c.strip() for c in header.columns if c.strip()]
+    schema = ", ".join(f"`{c}` double" for c in columns)
+    df = spark.read.schema(schema).options(header=True, sep=delimiter, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, quote="", enforceSchema=False).csv(path)
+    def checked(c: str) -> Column:
+        x = F.col(f"`{c}`")
+        return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(F.raise_error(F.lit(f"{c} has a cell that isn't a finite number")).cast("double")).alias(c)
+
+    return df.select(*map(checked, columns))
+
+
 def load_npz(raw: bytes):
     """The arrays x (rows, features) and y (rows) of an archive, within the limits."""
     import numpy as np
