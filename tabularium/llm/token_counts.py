@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import shared_dir, trimmed, utf8
+from tabularium.llm.common import materialize, shared_dir, trimmed, utf8
 
 CACHE = "content_digest binary, n_tokens long, tokenizer_digest string"
 
@@ -116,7 +116,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     cache = cache or shared_dir(docs.sparkSession)
     fill_cache(docs, cache, tokenizer, text_col)
     version = tokenizer_digest(tokenizer)
-    counts = (
+    # Written before the join: Spark splits a skewed join only between plain shuffles.
+    counts = materialize(
         _read(docs.sparkSession, cache)
         .where(F.col("tokenizer_digest") == version)
         .groupBy("content_digest")
