@@ -6,37 +6,50 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabularium.functions.hashing import feature_buckets
 from tabularium.functions.numbers import parse_number, parse_stream_number, text
 from tabularium.operators.profile import MAX_CATEGORIES, column_profile, dropped_columns, infer_task
+from tabularium.operators.quantiles import brackets, exact_medians
 
 MISSING = "<missing>"
 LEAST_ROWS = 40
 BUCKETS = 64
 
 
+def number(df: DataFrame, c: str, stream: bool = False) -> Column:
+    """A column's finite numbers: a typed column as it is, a text column parsed."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.NumericType):
+        x = F.col(f"`{c}`").cast("double")
+        return F.when(F.abs(x) < float("inf"), x) if isinstance(kind, (T.FloatType, T.DoubleType)) else x
+    return (parse_stream_number if stream else parse_number)(F.col(f"`{c}`"))
+
+
 def numeric_stats(df: DataFrame, columns: list[str], impute: bool = True, where: Column | None = None) -> DataFrame:
     """(feature, median, mean, std): exact median of the numbers, mean and deviation after imputation.
 
-    Without ``impute`` blanks are left out of mean and deviation, as for streams, where
-    ``where`` keeps to training rows. A vanishing deviation reads 1.
+    Without ``impute`` there is no median, and blanks are left out of mean and deviation,
+    as for streams, where ``where`` keeps to training rows. A vanishing deviation reads 1.
     """
     if where is not None:
         df = df.where(where)
-    x = {c: parse_number(F.col(c)) for c in columns}
-    n = df.agg(F.count(F.lit(1)).alias("n"), *(f for c in columns for f in (F.median(x[c]).alias(f"{c}|m"), F.count(x[c]).alias(f"{c}|k"), F.avg(x[c]).alias(f"{c}|a"), F.var_pop(x[c]).alias(f"{c}|v"))))
+    x = {c: number(df, c) for c in columns}
+    aggs = [f for c in columns for f in (F.count(x[c]).alias(f"{c}|k"), F.avg(x[c]).alias(f"{c}|a"), F.var_pop(x[c]).alias(f"{c}|v"))]
+    got = df.agg(F.count(F.lit(1)).alias("n"), *aggs, *(brackets(x) if impute else [])).first()
+    median = exact_medians(df, x, {c: got[f"{c}|k"] for c in columns}, {c: got[f"{c}|b"] for c in columns}) if impute else dict.fromkeys(columns)
     rows = []
     for c in columns:
-        m, k, a, v = (F.col(f"`{c}|{s}`") for s in "mkav")
-        total = F.col("n")
-        # With n - k blanks at the median the moments follow from those of the numbers.
-        share = k / total
-        mean = a * share + m * (1 - share) if impute else a
-        var = share * (v + F.pow(a - mean, 2)) + (1 - share) * F.pow(m - mean, 2) if impute else v
-        std = F.sqrt(F.greatest(var, F.lit(0.0)))
-        rows.append(F.struct(F.lit(c).alias("feature"), m.alias("median"), mean.alias("mean"), F.when(std > 1e-12, std).otherwise(1.0).alias("std")))
-    return n.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        k, mean, var, m = got[f"{c}|k"], got[f"{c}|a"], got[f"{c}|v"], median[c]
+        if impute and k:
+            # With n - k blanks at the median the moments follow from those of the numbers.
+            share, a = k / got["n"], mean
+            mean = a * share + m * (1 - share)
+            var = share * (var + (a - mean) ** 2) + (1 - share) * (m - mean) ** 2
+        std = max(var or 0.0, 0.0) ** 0.5
+        rows.append((c, m, mean, std if std > 1e-12 else 1.0))
+    return df.sparkSession.createDataFrame(rows, "feature string, median double, mean double, std double")
 
 
 def one_hot(c: Column, categories: list[str]) -> Column:

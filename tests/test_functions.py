@@ -111,3 +111,19 @@ def test_hashed_categories_of_a_stream(spark):
     out = enc.transform(spark.createDataFrame(rows, "n string, c string, y string")).first()
     assert [f.kind for f in enc.features] == ["standardize", "feature_hash"]
     assert len(out.features) == 65 and sum(out.features[1:]) == 1.0
+
+
+def test_exact_medians_even_when_narrowed(spark, monkeypatch):
+    import statistics
+
+    from tabularium.operators import quantiles
+
+    rows = [(float(k * 7919 % 4001), float(k % 3), None if k % 2 else float(k)) for k in range(4001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    want = [statistics.median(v for v in c if v is not None) for c in zip(*rows, strict=True)]
+    for most in (500_000, 40):
+        monkeypatch.setattr(quantiles, "MOST", most)
+        monkeypatch.setattr(quantiles, "HALF", 0.1 if most == 40 else 5e-4)
+        got = prepare.numeric_stats(df, ["a", "b", "c"]).collect()
+        assert [r.median for r in got] == want
+    assert prepare.numeric_stats(df.where("a < 0"), ["a"]).first().median is None
