@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabularium.functions.hashing import feature_buckets
 from tabularium.functions.numbers import parse_number, parse_stream_number, text
-from tabularium.operators.profile import MAX_CATEGORIES, column_profile, dropped_columns, infer_task
+from tabularium.operators.profile import MAX_CATEGORIES, dropped_columns, infer_task, quick_profile
 from tabularium.operators.quantiles import brackets, exact_medians
 
 MISSING = "<missing>"
@@ -140,21 +140,22 @@ def fit_encoder(df: DataFrame, target: str, stream: bool = False, train: Column
     usable = [c for c in names if c not in dropped]
     if not usable:
         raise ValueError("no column is left as a feature")
-    prof = {r.column_name: r for r in column_profile(rows, usable, stream).collect()}
-    numeric = [c for c in usable if prof[c].is_numeric]
+    prof = quick_profile(rows, usable, stream)
+    numeric = [c for c in usable if prof[c]["is_numeric"]]
     texts = [c for c in usable if c not in numeric]
     if stream:
         numeric.sort()
     stats = {r.feature: r for r in numeric_stats(rows, numeric, impute=not stream, where=train).collect()} if numeric else {}
     made = {c: Feature(c, "median_impute_standardize" if not stream else "standardize", float(stats[c].median or 0.0), float(stats[c].mean or 0.0), float(stats[c].std)) for c in numeric}
-    for c in texts:
-        if stream:
-            made[c] = Feature(c, "feature_hash")
-            continue
-        if prof[c].n_distinct > MAX_CATEGORIES:
-            raise ValueError(f"{c} has {prof[c].n_distinct} categories; {MAX_CATEGORIES} are the most")
-        v = F.when(text(F.col(c)) == "", F.lit(MISSING)).otherwise(text(F.col(c)))
-        made[c] = Feature(c, "one_hot", categories=sorted(r[0] for r in rows.select(v).distinct().collect()))
+    if stream:
+        made |= {c: Feature(c, "feature_hash") for c in texts}
+    elif texts:
+        for c in texts:
+            if prof[c]["n_distinct"] > MAX_CATEGORIES:
+                raise ValueError(f"{c} has {prof[c]['n_distinct']} categories; {MAX_CATEGORIES} are the most")
+        cells = F.array(*(F.struct(F.lit(c).alias("c"), F.when(text(F.col(f"`{c}`")) == "", F.lit(MISSING)).otherwise(text(F.col(f"`{c}`"))).alias("v")) for c in texts))
+        found = rows.select(F.explode(cells).alias("x")).select("x.c", "x.v").distinct().collect()  # at most 65 a column
+        made |= {c: Feature(c, "one_hot", categories=sorted(r.v for r in found if r.c == c)) for c in texts}
     order = [*numeric, *texts] if stream else usable
     parse = parse_stream_number if stream else parse_number
     y, x = text(F.col(target)), parse(F.col(target))

@@ -41,6 +41,29 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, stream: bool
     return out.withColumn("ratio", ratio).withColumn("is_numeric", (base > 0) & (F.col("ratio") >= NUMERIC_SHARE)).withColumn("nullable", F.col("n_blank") > 0)
 
 
+def quick_profile(df: DataFrame, columns: list[str], stream: bool = False) -> dict[str, dict]:
+    """As column_profile, by name, for wide or long tables: one aggregate that shuffles a row per task.
+
+    n_distinct is a sketch's estimate; where that is at most four times the limit of
+    categories it is counted exactly, in a second aggregate.
+    """
+    parse = parse_stream_number if stream else parse_number
+    v = {c: text(F.col(f"`{c}`")) for c in columns}
+    aggs = [a for c in columns for a in (F.count_if(v[c] == "").alias(f"{c}|blank"), F.count(parse(F.col(f"`{c}`"))).alias(f"{c}|num"), F.approx_count_distinct(F.when(v[c] != "", v[c])).alias(f"{c}|distinct"))]
+    got = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+    out = {}
+    for c in columns:
+        n, blank, num = got["n"], got[f"{c}|blank"], got[f"{c}|num"]
+        base = n if stream else n - blank
+        out[c] = {"n_rows": n, "n_blank": blank, "n_numeric": num, "n_distinct": got[f"{c}|distinct"], "ratio": num / base if base else 0.0, "is_numeric": bool(base) and num >= NUMERIC_SHARE * base, "nullable": blank > 0}
+    few = [c for c in columns if out[c]["n_distinct"] <= 4 * MAX_CATEGORIES]
+    if few:
+        exact = df.agg(*(F.count_distinct(F.when(v[c] != "", v[c])).alias(c) for c in few)).first()
+        for c in few:
+            out[c]["n_distinct"] = exact[c]
+    return out
+
+
 def target_candidates(profile: DataFrame) -> DataFrame:
     """Columns that may be a target: 2 to 64 distinct values, or numbers with more than two."""
     few = F.col("n_distinct").between(2, MAX_CATEGORIES)

@@ -85,8 +85,8 @@ class Datasets:
         task = profile.target_task(df, target, stream=True).first()
         if task.task == "error":
             raise DatasetError(f"{target} has {task.n_classes} classes")
-        prof = profile.column_profile(df.drop(target), stream=True).collect()
-        numeric = sorted(r.column_name for r in prof if r.is_numeric)
+        prof = profile.quick_profile(df, [c for c in df.columns if c != target], stream=True)
+        numeric = sorted(c for c, p in prof.items() if p["is_numeric"])
         spec = {
             "path": path, "fingerprint": mark, "sha256": mark, "target": target, "task": task.task, "rows": task.n_rows, "columns": df.columns, "numeric": numeric,
             "categorical": [c for c in df.columns if c != target and c not in numeric], "hash_buckets": prepare.BUCKETS, "created_at": time.time(),

@@ -99,9 +99,8 @@ class Engine:
 
     def inspect(self, path: str) -> dict:
         df = self.read(path)
-        p = profile.column_profile(df)
-        cols = {r.column_name: r.asDict() for r in p.collect()}
-        cand = {r.column_name for r in profile.target_candidates(p).where("candidate").collect()}
+        cols = profile.quick_profile(df, df.columns)
+        cand = {c for c, p in cols.items() if 2 <= p["n_distinct"] <= profile.MAX_CATEGORIES or (p["is_numeric"] and p["n_distinct"] > 2)}
         return {"path": path, "columns": df.columns, "profile": cols, "candidates": [c for c in df.columns if c in cand], "target": profile.choose_target(df.columns), "preview": [r.asDict() for r in df.limit(20).collect()]}
 
     def _options(self, options: dict) -> Config:

@@ -127,3 +127,10 @@ def test_exact_medians_even_when_narrowed(spark, monkeypatch):
         got = prepare.numeric_stats(df, ["a", "b", "c"]).collect()
         assert [r.median for r in got] == want
     assert prepare.numeric_stats(df.where("a < 0"), ["a"]).first().median is None
+
+
+def test_quick_profile_equals_the_exact_one(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_returnflag", "l_linenumber", "l_quantity")
+    exact = {r.column_name: r.asDict() for r in profile.column_profile(df).collect()}
+    quick = profile.quick_profile(df, df.columns)
+    assert all(exact[c][k] == v for c, p in quick.items() for k, v in p.items())
