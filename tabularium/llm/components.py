@@ -9,7 +9,9 @@ from tabularium.llm.common import materialize
 
 
 def _mins(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """(u, m): each node's smallest neighbour. Written, as Spark splits a skewed join
+    only between plain shuffles, and a hub's edges may be many."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -256,7 +256,8 @@ def classes(fps: DataFrame, id_col: str = "doc_id", budget: int = 2, split_rows:
     by_fp = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
     roots = connected_components(links(by_fp.select("fp"), budget, split_rows))
     every = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    first = every.groupBy("root").agg(F.min("first").alias("first_id"))
+    # Written before the join: Spark splits a skewed join only between plain shuffles.
+    first = materialize(every.groupBy("root").agg(F.min("first").alias("first_id")))
     return every.drop("first").join(first, "root")
 
 
@@ -286,8 +287,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     at = located(docs)
     fps = materialize(fingerprints(at.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__file", "__row"), "text", ("id", "__file", "__row")))
     order = F.struct(F.col("id").isNull().alias("n"), "id", "__file", "__row")
-    rows = fps.join(classes(fps, "id", budget), "fp")
-    first = rows.groupBy("root").agg(F.min(order).alias("w"))
+    rows = materialize(fps.join(classes(fps, "id", budget).select("fp", "root"), "fp"))
+    first = materialize(rows.groupBy("root").agg(F.min(order).alias("w")))
     losers = materialize(
         rows.join(first, "root").where((F.col("__file") != F.col("w.__file")) | (F.col("__row") != F.col("w.__row"))).select("__file", "__row")
     )
