@@ -110,13 +110,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def label_model(votes: np.ndarray, clean: np.ndarray, prior: float, gold_fired: np.ndarray, gold_toxic: np.ndarray, rounds: int = 30):
     """Posteriors of rows, accuracies of voters and their correlations.
 
     ``votes`` (rows, voters) is true where a voter says toxic, ``clean`` where the
     clean voter fires. A voter that abstains says nothing. Expectation-maximisation
-    alternates posteriors (log-odds of the votes) and accuracies (mean posterior where
-    a voter fired, with the gold precision as a prior of ten votes). A voter's log-odds
+    alternates posteriors (log-odds of the votes) and accuracies: where a voter fired,
+    the mean posterior that the other voters alone give, with the gold precision as a
+    prior of ten votes; so no voter confirms itself. A voter's log-odds
     are divided by one plus twice what its correlations with other voters among likely
     toxic rows have above ``REPEATS``, so that voters that see the same thing count
     about once together; weaker ones come with a text's length and are no repetition.
@@ -133,10 +138,11 @@ def label_model(votes: np.ndarray, clean: np.ndarray, prior: float, gold_fired:
     for k in range(rounds):
         lift = (np.log(acc / (1 - acc)) - base) * discount
         z = base + x @ lift + clean * (np.log((1 - acc_clean) / acc_clean) - base)
-        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        new = _sigmoid(z)
         done = np.abs(new - q).max() < 1e-6
         q = new
-        acc = np.clip((x.T @ q + 10 * precision) / (fired + 10), 0.01, 0.999)
+        others = [_sigmoid(z[votes[:, j]] - lift[j]).sum() for j in range(m)]
+        acc = np.clip((others + 10 * precision) / (fired + 10), 0.01, 0.999)
         acc_clean = np.clip((clean @ (1 - q) + 9.5) / (clean.sum() + 10), 0.5, 0.999)
         if k in (0, 3, 9):
             mean = x.T @ q / max(q.sum(), 1e-9)
