@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-#: ASCII white space, the only separators of words: space and \t \n \v \f \r.
-#: ``bytes.split()`` without arguments splits at exactly these.
-SPACES = " \t\n\x0b\x0c\r"
+#: The folder of a local session without a setting of its own.
+_own_root: list[str] = []
 #: A byte table that lower-cases A-Z and leaves every other byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -28,14 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session without that setting (a local test) gets a folder of its own.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tabularium-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    elif root.startswith("/"):
-        root = "file://" + root
+        if not _own_root:
+            _own_root.append("file://" + tempfile.mkdtemp(prefix="tabularium-"))
+        root = _own_root[0]
+    elif ":" not in root.split("/")[0]:  # a path of the cluster's default file system
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = "file://" + root.removeprefix("file:")
     return f"{root.rstrip('/')}/tabularium/{uuid.uuid4().hex}"
 
 

