@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 #: The folder of a local session without a setting of its own.
 _own_root: list[str] = []
@@ -57,13 +56,18 @@ def located(df: DataFrame, file_col: str = "__file", row_col: str = "__row") ->
     give a row the same locator even when executors came or went in between. A frame
     that isn't a plain Parquet scan is written to the shared folder first.
     """
+    from pyspark.errors import AnalysisException
+
+    def placed(frame: DataFrame) -> DataFrame:
+        about = frame.metadataColumn("_metadata")  # also where a column has that name
+        return frame.select("*", F.xxhash64(about["file_path"]).alias(file_col), about["row_index"].alias(row_col))
+
     try:
-        out = df.select("*", F.xxhash64("_metadata.file_path").alias(file_col), F.col("_metadata.row_index").alias(row_col))
+        out = placed(df)
         out.schema  # noqa: B018  resolves the columns
         return out
     except AnalysisException:
-        kept = materialize(df)
-        return kept.select("*", F.xxhash64("_metadata.file_path").alias(file_col), F.col("_metadata.row_index").alias(row_col))
+        return placed(materialize(df))
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -72,16 +76,25 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
-def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``f`` for mapInArrow, handing unused memory back to the system when a task ends.
+def trimmed(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1024):
+    """``f`` for mapInArrow, kept small: it gets slices of ``rows`` rows (0: whole batches),
+    and unused memory goes back to the system when a task ends.
 
     Spark keeps Python workers for later tasks; without this each of them keeps the
     largest amount that any of its tasks has used.
     """
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not rows:
+                yield b
+            else:
+                for lo in range(0, b.num_rows, rows):
+                    yield b.slice(lo, rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from f(batches)
+            yield from f(slices(batches))
         finally:
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
