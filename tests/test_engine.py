@@ -101,3 +101,25 @@ def test_block_training_lowers_the_loss(spark):
 def test_gradient_refuses_nothing(spark):
     with pytest.raises(ValueError):
         gradient(spark.createDataFrame([], "features array<double>, label double"), Linear.zeros("regression", 2))
+
+
+def test_fit_a_folder_as_a_stream(spark, csvs, tmp_path):
+    lines = (csvs / "binary.csv").read_text().splitlines()
+    (tmp_path / "b.csv").write_text("\n".join([lines[0], *lines[1:301]]))
+    (tmp_path / "A.csv").write_text("\n".join([lines[0], *lines[301:]]))
+    r = Engine(spark).fit(str(tmp_path), "target", stream=True, max_steps=200, learning_rate=0.5)
+    assert r.plan.rows == 400 and r.test["accuracy"] > 0.75
+
+
+def test_plan_many_and_fit_many(spark, csvs):
+    e = Engine(spark, config=Config(max_steps=40))
+    assert [p.task for p in e.plan_many([str(csvs / "binary.csv"), (str(csvs / "regression.csv"), "target")])] == ["binary_classification", "regression"]
+    assert len(e.fit_many([str(csvs / "binary.csv"), str(csvs / "multi.jsonl")])) == 2
+
+
+def test_distributed_steps_when_rows_are_many(spark, csvs, monkeypatch):
+    from tabularium.plans import engine
+
+    monkeypatch.setattr(engine, "BLOCK_ROWS", 10)
+    r = Engine(spark).fit(str(csvs / "binary.csv"), max_steps=6, learning_rate=0.5)
+    assert r.model.step >= 6 or r.reason != "max_steps"
