@@ -248,7 +248,7 @@ def links(distinct: DataFrame, budget: int = 2, split_rows: int = 50_000, chunk_
         if rest is not None and len(rest[0]):
             yield from solve(rest)
 
-    return cells.mapInArrow(trimmed(run), "u long, v long")
+    return cells.mapInArrow(trimmed(run, 0), "u long, v long")
 
 
 def classes(fps: DataFrame, id_col: str = "doc_id", budget: int = 2, split_rows: int = 50_000) -> DataFrame:

@@ -110,7 +110,7 @@ def count_ngrams(ruled: DataFrame, order: int = ORDER) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["good", "key", "n"])
 
-    return ruled.select("good", "text").mapInArrow(trimmed(run), "good boolean, key long, n long").groupBy("good", "key").agg(F.sum("n").alias("n"))
+    return ruled.select("good", "text").mapInArrow(trimmed(run, 0), "good boolean, key long, n long").groupBy("good", "key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -199,7 +199,7 @@ def _scored(df: DataFrame, model: Ratio) -> DataFrame:
                 s = model.scores(utf8(part, "text"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())], names=schema.names)
 
-    return df.mapInArrow(trimmed(run), schema)
+    return df.mapInArrow(trimmed(run, 4096), schema)
 
 
 def train(judged: DataFrame, order: int = ORDER, discount: float = DISCOUNT, max_ngrams: int = MAX_NGRAMS) -> Ratio:

@@ -205,7 +205,7 @@ def write_index(captures: DataFrame, uri: str) -> DataFrame:
 
     store, root = file_system(uri)
     store.create_dir(root, recursive=True)
-    return materialize(ordered.mapInArrow(trimmed(run), "shard string, first string, last string"))
+    return materialize(ordered.mapInArrow(trimmed(run, 0), "shard string, first string, last string"))
 
 
 class Shard:
@@ -268,8 +268,8 @@ def lookup(keys: DataFrame, shards: DataFrame, uri: str) -> DataFrame:
             for lo in range(0, len(found), 10_000):
                 yield _batch(found[lo : lo + 10_000], CAPTURE)
 
-    routed = keys.select("key").where("key is not null").distinct().mapInArrow(trimmed(route), "shard string, key string")
-    return routed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(trimmed(search), CAPTURE)
+    routed = keys.select("key").where("key is not null").distinct().mapInArrow(trimmed(route, 0), "shard string, key string")
+    return routed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(trimmed(search, 0), CAPTURE)
 
 
 FETCHED = "key string, page string, type string, payload_bytes long, digest string, refers_to string, payload binary"
@@ -323,7 +323,7 @@ def fetch(captures: DataFrame, uri: str, with_payload: bool = True) -> DataFrame
             if out:
                 yield _batch(out, FETCHED)
 
-    return near.repartition("segment", "part").sortWithinPartitions("segment", "offset").mapInArrow(trimmed(run), FETCHED)
+    return near.repartition("segment", "part").sortWithinPartitions("segment", "offset").mapInArrow(trimmed(run, 0), FETCHED)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
