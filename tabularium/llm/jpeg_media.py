@@ -18,7 +18,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +52,14 @@ def canonical(codes: tuple[tuple[int, ...], ...]) -> dict[int, tuple[int, int]]:
     return out
 
 
-@lru_cache(1)
+#: Tables that a process has built. (A decorated cache couldn't travel to workers by value.)
+_built: dict[object, object] = {}
+
+
 def _code_tables() -> tuple[np.ndarray, np.ndarray]:
     """Bits and their number for a flat block, by its DC step + 255."""
+    if "codes" in _built:
+        return _built["codes"]
     dc, (eob, eob_bits) = canonical(DC_CODES), canonical(AC_CODES)[0]
     code, bits = np.zeros(511, np.uint32), np.zeros(511, np.int64)
     for d in range(-255, 256):
@@ -64,6 +68,7 @@ def _code_tables() -> tuple[np.ndarray, np.ndarray]:
         extra = d if d >= 0 else d + (1 << s) - 1
         code[d + 255] = (c << s | extra) << eob_bits | eob
         bits[d + 255] = n + s + eob_bits
+    _built["codes"] = code, bits
     return code, bits
 
 
@@ -251,9 +256,10 @@ def _symbols(table: bytes) -> dict[int, tuple[int, int]]:
     return canonical(tuple(codes))
 
 
-@lru_cache(16)
 def _flat_table(dc: bytes, ac: bytes) -> tuple[np.ndarray, np.ndarray]:
     """By the next 16 bits: the bits of a whole flat block (0: none) and its DC step."""
+    if (dc, ac) in _built:
+        return _built[dc, ac]
     bits, step = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int16)
     eob = _symbols(ac).get(0)
     for s, (code, n) in _symbols(dc).items() if eob else ():
@@ -264,10 +270,12 @@ def _flat_table(dc: bytes, ac: bytes) -> tuple[np.ndarray, np.ndarray]:
             lo = ((code << s | extra) << eob[1] | eob[0]) << (16 - size)
             bits[lo : lo + (1 << (16 - size))] = size
             step[lo : lo + (1 << (16 - size))] = extra if not s or extra >> (s - 1) else extra - (1 << s) + 1
+    if len(_built) > 16:
+        _built.clear()
+    _built[dc, ac] = bits, step
     return bits, step
 
 
-@lru_cache(16)
 def _lookup(table: bytes) -> dict[tuple[int, int], int]:
     return {(n, code): s for s, (code, n) in _symbols(table).items()}
 
@@ -282,6 +290,7 @@ def decode_any(im: Image, intervals: list[np.ndarray]) -> np.ndarray:
     across, down = -(-im.width // scale_x), -(-im.height // scale_y)
     out = np.zeros((down * v, across * h), np.int64)
     left, mcu = across * down, 0
+    tables = {k: _lookup(t) for k, t in im.tables.items()}
     for part in intervals:
         word, room, at = int.from_bytes(part.tobytes(), "big"), 8 * len(part), 0
 
@@ -305,7 +314,7 @@ def decode_any(im: Image, intervals: list[np.ndarray]) -> np.ndarray:
             for c, dc, ac in im.scan:
                 ch, cv = (1, 1) if single else im.parts[c][:2]
                 for k in range(ch * cv):
-                    s = symbol(_lookup(im.tables[dc]))
+                    s = symbol(tables[dc])
                     if s:
                         x = take(s)
                         pred[c] += x if x >> (s - 1) else x - (1 << s) + 1
@@ -313,7 +322,7 @@ def decode_any(im: Image, intervals: list[np.ndarray]) -> np.ndarray:
                         out[mcu // across * v + k // ch, mcu % across * h + k % ch] = pred[c]
                     z = 1
                     while z < 64:
-                        rs = symbol(_lookup(im.tables[16 | ac]))
+                        rs = symbol(tables[16 | ac])
                         if rs == 0:
                             break
                         take(rs & 15)

@@ -214,8 +214,8 @@ def train(judged: DataFrame, order: int = ORDER, discount: float = DISCOUNT, max
         if kept > max_ngrams:
             floor = 1 << (b + 1)
             break
-    rows = counts.where(F.col("n") >= floor).collect()
-    key, n, good = (np.array([r[c] for r in rows], kind) for c, kind in (("key", np.int64), ("n", np.int64), ("good", bool)))
+    rows = counts.where(F.col("n") >= floor).select("key", "n", "good").toArrow()
+    key, n, good = (rows.column(c).to_numpy() for c in ("key", "n", "good"))
     model = Ratio(Markov.of(key[good], n[good]), Markov.of(key[~good], n[~good]), order, discount)
     bins = _scored(ruled.where(fold), model).groupBy(F.floor(F.col("score") / BIN).cast("int").alias("b"), "good").count().collect()
     model.threshold = best_threshold([tuple(r) for r in bins])
