@@ -1,0 +1,188 @@
+"""Near copies by the Jaccard similarity of word shingles, found by an exact prefix join.
+
+Two sets with a similarity of at least t share at least ceil(t * n) shingles, n the
+size of either; so in any order common to all sets they share one of the first
+n - ceil(t * n) + 1 of each. These prefixes are what is shuffled and joined, and pairs
+that meet, if what they share of the prefixes leaves it possible, are confirmed by their whole sets: no
+pair is lost and none is guessed. The
+order puts shingles that are frequent in a sample of the texts last, which keeps them
+out of most prefixes; the result doesn't depend on it.
+
+Only connections count, so pairs within a group that is connected already needn't be
+confirmed: each shared shingle first links its texts to one of them, twice, and then
+only pairs between different groups are enumerated.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tabularium.llm.common import LOWER, located, materialize, trimmed, utf8
+from tabularium.llm.components import connected_components
+
+WIDTH, SIMILARITY = 5, 0.8
+#: One text in this many is counted for the order; shingles that at least this many of them hold, and so many at most, are put last.
+SAMPLED, OFTEN, MOST = 16, 3, 500_000
+SEED = 42
+#: The bit map of places has this power of two of bits (4 MB).
+SLOTS = 25
+
+
+def shingle_set(text: bytes | None, width: int = WIDTH) -> tuple[int, np.ndarray]:
+    """A 64-bit digest of the text's words, and its shingles' sorted distinct hashes; one shingle
+    if it has fewer words than ``width``, none without words."""
+    import xxhash
+
+    words = (text or b"").translate(LOWER).split()
+    n = max(1, len(words) - width + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(b" ".join(words[k : k + width]), SEED) for k in range(n)), np.uint64, n)
+    return digest(b" ".join(words), SEED), np.unique(hashes.view(np.int64))
+
+
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles of a sample, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, width)[1] for t in utf8(b, "text")]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["h"])
+
+    sample = texts.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(SAMPLED)) == 0).select("text")
+    found = sample.mapInArrow(trimmed(run), "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    got = found.orderBy(F.desc("count"), "h").limit(MOST).toArrow()
+    h, n = got.column("h").to_numpy(), got.column("count").to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def _prefixes(at: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """(id, __file, __row, key, n, prefix) of rows (id, text, __file, __row)."""
+    often, counts = _frequent(at, width)
+    kept = at.select("id", "__file", "__row", "text")
+    id_type = kept.schema["id"].dataType.simpleString()
+    p, q = t.numerator, t.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sizes, prefixes = [], [], []
+            for text in utf8(b, "text"):
+                key, h = shingle_set(text, width)
+                n = len(h)
+                if len(often) and n:
+                    i = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    h = h[np.lexsort((h, np.where(often[i] == h, counts[i], 0)))]
+                keys.append(key)
+                sizes.append(n)
+                prefixes.append(h[: n + (-p * n // q) + 1] if n else h)
+            ends = np.cumsum([0, *map(len, prefixes)], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.int64), *prefixes])
+            made = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), *made], names=["id", "__file", "__row", "key", "n", "prefix"])
+
+    return kept.mapInArrow(trimmed(run), f"id {id_type}, __file long, __row long, key long, n int, prefix array<long>")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, width)[1] for t in utf8(b, "text")]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.int64), *sets])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "h"])
+
+    return texts.select("key", "text").mapInArrow(trimmed(run), "key long, h array<long>")
+
+
+def _read(src: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, text) of the texts at (key, __file, __row). A bit map of their places, 2^SLOTS bits
+    however many they are, keeps most others out of the join's shuffle."""
+    def slot() -> Column:
+        return F.shiftrightunsigned(F.xxhash64("__file", "__row"), 64 - SLOTS)
+
+    words = places.groupBy(F.shiftright(slot(), 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot().bitwiseAND(F.lit(31)).cast("int"))).alias("b")).toArrow()
+    bits = np.zeros(1 << SLOTS - 5, np.uint32)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(3).to_numpy()
+            yield b.select([0, 1, 2]).filter(pa.array(bits[s >> 5] >> (s & 31).astype(np.uint32) & 1 == 1))
+
+    rows = src.select("__file", "__row", "text", slot().alias("s")).mapInArrow(trimmed(run), "__file long, __row long, text string")
+    return rows.join(places, ["__file", "__row"]).select("key", "text")
+
+
+def _links(shared: DataFrame, places: DataFrame, src: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Edges (u, v) that connect all similar texts; ``shared`` has (h, key, n, i), each h with
+    two keys or more; ``places`` has where in ``src`` a key's text is: (key, __file, __row)."""
+    p, q = t.numerator, t.denominator
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        """Pairs of rows (u, n, i, v, m, j), one for each prefix shingle they share, that may be similar.
+
+        What a pair shares up to the last of these lies in both prefixes and is counted;
+        behind it no more can be shared than the shorter rest.
+        """
+        ahead = met.groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("both"), F.max("i").alias("i"), F.max("j").alias("j"))
+        most = F.col("both") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+        return ahead.where(most * (p + q) >= (F.col("n") + F.col("m")) * p).select("u", "v")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs)
+        keys = materialize(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
+        at = materialize(places.join(keys, "key"))
+        sets = materialize(_sets(_read(src, at), width))
+        a, b = sets.select(F.col("key").alias("u"), F.col("h").alias("a")), sets.select(F.col("key").alias("v"), F.col("h").alias("b"))
+        both = F.size(F.array_intersect("a", "b"))
+        return materialize(pairs.join(a, "u").join(b, "v").where(both * (p + q) >= (F.size("a") + F.size("b")) * p).select("u", "v"))
+
+    sized = F.greatest("n", "m") * p <= F.least("n", "m") * q
+    edges = None
+    rows = shared.withColumn("c", F.col("key"))
+    for pick in (F.min, F.max):
+        one = materialize(rows.groupBy("h").agg(pick(F.struct("key", "n", "i", "c")).alias("r"), F.min("c").alias("lo"), F.max("c").alias("hi")))
+        one = one.where("lo <> hi").select("h", F.col("r.key").alias("v"), F.col("r.n").alias("m"), F.col("r.i").alias("j"), F.col("r.c").alias("d"))
+        met = rows.withColumnRenamed("key", "u").join(one, "h").where((F.col("c") != F.col("d")) & sized)
+        found = confirmed(pairs_of(met))
+        edges = found if edges is None else edges.unionByName(found)
+        roots = materialize(connected_components(edges).withColumnRenamed("node", "key"))
+        rows = materialize(shared.join(roots, "key", "left").select("h", "key", "n", "i", F.coalesce("root", "key").alias("c")))
+    mixed = materialize(rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
+    rows = materialize(rows.join(mixed, "h"))
+    other = rows.select("h", F.col("key").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("d"))
+    met = rows.withColumnRenamed("key", "u").join(other, "h").where((F.col("u") < F.col("v")) & (F.col("c") != F.col("d")) & sized)
+    return edges.unionByName(confirmed(pairs_of(met)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, one of each group that near copies connect: that with the smallest id.
+
+    Near copies are texts whose sets of ``width`` lower-case words have a Jaccard
+    similarity of at least ``similarity``. A text with fewer words is one shingle; null
+    and wordless texts are copies of each other. Among rows that share the id (or when
+    all ids are null) the first by file and row stays. An empty table gives no rows.
+    """
+    t = Fraction(similarity).limit_denominator(10_000)
+    at = located(docs)
+    src = at.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__file", "__row")
+    rows = materialize(_prefixes(src, width, t))
+    order = F.struct(F.col("id").isNull().alias("n"), "id", "__file", "__row")
+    texts = materialize(rows.groupBy("key").agg(F.min(order).alias("w")))
+    place = texts.select("w.__file", "w.__row")
+    heads = rows.join(place, ["__file", "__row"], "left_semi").select("key", "n", F.posexplode("prefix").alias("i", "h"))
+    many = materialize(heads.groupBy("h").count().where("count > 1").select("h"))
+    shared = materialize(heads.join(many, "h").select("h", "key", "n", "i"))
+    places = materialize(texts.join(shared.select("key").distinct(), "key").select("key", "w.__file", "w.__row"))
+    roots = connected_components(_links(shared, places, src, width, t)).withColumnRenamed("node", "key")
+    grouped = texts.join(roots, "key", "left").select(F.coalesce("root", "key").alias("root"), "w")
+    winners = materialize(grouped.groupBy("root").agg(F.min("w").alias("w")).select("w.__file", "w.__row"))
+    losers = materialize(rows.select("__file", "__row").join(winners, ["__file", "__row"], "left_anti"))
+    return at.join(losers, ["__file", "__row"], "left_anti").drop("__file", "__row")
