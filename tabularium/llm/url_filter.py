@@ -6,10 +6,9 @@ absolute discounting, each context backing off to the next shorter one. Other ur
 are judged by the difference of the two log-likelihoods per character against a
 threshold that is calibrated on a tenth of the ruled urls, kept out of training.
 
-Counts cover all ruled urls and are summed in Spark. The models that travel to the
-tasks are bounded: contexts' counts below a floor are pruned, and the floor is the
-least power of two that leaves at most ``MAX_NGRAMS`` counts. A pruned context backs
-off, which is what makes the order variable.
+All counts of the other nine tenths are kept, in a table that is never collected:
+the probabilities of the n-grams to score come from joins with it, one order after the
+other, as an n-gram's probability follows from its counts and that of its suffix.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Longest context, discount, and the bound on counts that both models keep together.
-ORDER, DISCOUNT, MAX_NGRAMS = 5, 0.75, 400_000
+#: Longest context and discount.
+ORDER, DISCOUNT = 5, 0.75
 #: One in this many ruled urls calibrates the threshold; scores are binned this finely.
 FOLD, BIN = 10, 0.005
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -202,8 +201,8 @@ def _scored(df: DataFrame, model: Ratio) -> DataFrame:
     return df.mapInArrow(trimmed(run, 4096), schema)
 
 
-def train(judged: DataFrame, order: int = ORDER, discount: float = DISCOUNT, max_ngrams: int = MAX_NGRAMS) -> Ratio:
-    """Models and threshold from rows (text, ruled: allow, block or null)."""
+def train(judged: DataFrame, order: int = ORDER, discount: float = DISCOUNT, *, max_ngrams: int) -> Ratio:
+    """Models in memory, pruned to ``max_ngrams`` counts, and threshold from rows (text, ruled); ``judge`` doesn't prune."""
     ruled = judged.where(F.col("ruled").isNotNull()).select((F.col("ruled") == "allow").alias("good"), "text")
     fold = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(FOLD)) == 0
     counts = materialize(count_ngrams(ruled.where(~fold), order))
@@ -222,6 +221,42 @@ def train(judged: DataFrame, order: int = ORDER, discount: float = DISCOUNT, max
     return model
 
 
+def score_texts(texts: DataFrame, counts: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
+    """(text, score) of each distinct ``text`` but null, by all counts (good, key, n), as ``Ratio.scores`` gives it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, own = _codes(utf8(b, "text"), order)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(np.arange(len(own))), pa.array(code)], names=["text", "at", "code"])
+
+    texts = materialize(texts.select("text").where("text IS NOT NULL").distinct())
+    codes = materialize(texts.mapInArrow(trimmed(run), "text string, at long, code long"))
+    every = materialize(codes.select("code").distinct())
+    low = F.lit((1 << 56) - 1)
+    context = F.shiftright(F.col("key").bitwiseAND(low), 8).bitwiseOR(F.shiftleft(F.shiftright("key", 56), 56)).alias("context")
+    n = lambda flag: F.coalesce(F.sum(F.when(F.col("good") == flag, F.col("n"))), F.lit(0)).alias(f"n{flag:d}")
+    grams = materialize(counts.groupBy("key").agg(n(True), n(False)))
+    contexts = materialize(grams.groupBy(context).agg(*(f(k).alias(f"{x}{k}") for k in "10" for x, f in (("t", lambda k: F.sum(f"n{k}")), ("d", lambda k: F.count_if(F.col(f"n{k}") > 0))))))
+    key_of = lambda k: F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).bitwiseOR(F.lit(k << 56))
+    before = None
+    for k in range(order + 1):
+        suffix = key_of(k - 1) if k else F.lit(0).cast("long")
+        rows = every.select(key_of(k).alias("key"), suffix.alias("suffix")).distinct().select("key", "suffix", context)
+        rows = rows.join(grams, "key", "left").join(contexts, "context", "left")
+        rows = rows.join(before, "suffix") if k else rows.withColumns({"p1": F.lit(1 / 256), "p0": F.lit(1 / 256)})
+
+        def p(c: str) -> Column:
+            seen = F.greatest(F.coalesce(F.col(f"n{c}"), F.lit(0)) - F.lit(discount), F.lit(0.0))
+            return F.when(F.col(f"t{c}") > 0, (seen + discount * F.col(f"d{c}") * F.col(f"p{c}")) / F.col(f"t{c}")).otherwise(F.col(f"p{c}"))
+
+        before = materialize(rows.select(F.col("key").alias("suffix"), p("1").alias("p1"), p("0").alias("p0")))
+    diff = before.select(F.col("suffix").bitwiseAND(low).alias("code"), (F.log2("p1") - F.log2("p0")).alias("x"))
+    whole = codes.join(diff, "code").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
+    total = F.aggregate("xs", F.lit(0.0), lambda s, x: s + x["x"])
+    sums = materialize(whole.select("text", (total / F.greatest(F.octet_length("text"), F.lit(1))).alias("score")))
+    return texts.join(sums, "text", "left").select("text", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, score.
 
@@ -235,9 +270,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).select("id", host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("id", "host", "path", rule.alias("rule"), ruled.alias("ruled"), F.concat("host", "path").alias("text"))
-    model = train(rows.select("text", "ruled"))
-    return _scored(rows.select("id", "host", "path", "rule", "ruled", "text"), model).select(
+    rows = materialize(rows)
+    ruled_rows = rows.where(F.col("ruled").isNotNull()).select((F.col("ruled") == "allow").alias("good"), "text")
+    fold = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(FOLD)) == 0
+    counts = materialize(count_ngrams(ruled_rows.where(~fold)))
+    scores = materialize(score_texts(rows.where(F.col("ruled").isNull() | fold), counts))
+    bins = ruled_rows.where(fold).join(scores, "text").groupBy(F.floor(F.col("score") / BIN).cast("int").alias("b"), "good").count().collect()
+    threshold = best_threshold([tuple(r) for r in bins])
+    return rows.join(scores, "text", "left").select(
         F.col("id").alias(id_col), "host", "path", "rule",
-        F.coalesce("ruled", F.when((F.col("host") == "") & (F.col("path") == ""), "block").when(F.col("score") >= model.threshold, "allow").otherwise("block")).alias("verdict"),
+        F.coalesce("ruled", F.when((F.col("host") == "") & (F.col("path") == ""), "block").when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"),
         F.when(F.col("ruled").isNull(), F.col("score")).alias("score"),
     )

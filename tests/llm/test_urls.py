@@ -84,6 +84,23 @@ def test_pruned_counts_back_off(spark):
     assert np.isfinite(small.scores([b"ab00/x", b"unseen", "é".encode()])).all()
 
 
+def test_judge_keeps_all_counts(spark):
+    """More n-grams than the earlier bound of 400,000: scores are those of the whole models."""
+    rng = np.random.default_rng(6)
+    path = lambda: "".join(map(chr, rng.integers(97, 123, 30)))
+    urls = [f"http://a{k % 7}.org/{path()}" for k in range(3500)] + [f"http://a{k % 7}.com/de/{path()}" for k in range(2500)] + [f"http://b.net/{path()}" for _ in range(20)] + ["http://q.net/é", "x"]
+    rows = U.judge(frame(spark, urls)).collect()
+    texts = {(r.host + r.path): r.score for r in rows if r.rule is None}
+    from pyspark.sql import functions as F
+
+    ruled = spark.createDataFrame([(r.verdict == "allow", r.host + r.path) for r in rows if r.rule], "good boolean, text string")
+    got = U.count_ngrams(ruled.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(U.FOLD)) != 0)).collect()
+    assert len(got) > 400_000
+    parts = [np.array([(r.key, r.n) for r in got if r.good == g], np.int64).T for g in (True, False)]
+    whole = U.Ratio(U.Markov.of(*parts[0]), U.Markov.of(*parts[1]))
+    assert list(texts.values()) == pytest.approx(whole.scores([t.encode() for t in texts]).tolist())
+
+
 def test_threshold():
     assert U.best_threshold([(0, False, 5), (10, True, 5)]) == pytest.approx(10 * U.BIN)
     assert U.best_threshold([(3, True, 5)]) == -np.inf and U.best_threshold([(3, False, 5)]) == np.inf and U.best_threshold([]) == 0.0
