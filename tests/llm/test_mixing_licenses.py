@@ -68,6 +68,30 @@ def test_scale():
     assert np.minimum(n, M.scale_for(n, w, 40.0) * w).sum() == pytest.approx(30.0)
 
 
+def test_sample_meets_targets_where_chances_are_bounded(spark):
+    """A hot source of a third of the tokens: cells at chance 1 are made up for by others."""
+    rng = np.random.default_rng(4)
+    cells = [(f"s{s}", lang, t, int(rng.integers(20, 60) * w * (40 if s == 0 else 1))) for s in range(20) for lang, w in (("en", 12), ("fr", 2), ("es", 1)) for t in range(4)]
+    fitted = M.rake(spark.createDataFrame(cells, "source string, lang string, topic int, n long"))
+    row = {r.source: r for r in fitted.sources.collect()}
+    p = [min(1.0, row[s].chance * fitted.lang_chances[g] * fitted.topic_chances[t]) for s, g, t, _ in cells]
+    n = np.array([float(x[3]) for x in cells])
+    assert sum(x == 1.0 for x in p) > 5 and (n * p).sum() == pytest.approx(M.SHARE * n.sum(), rel=1e-6)
+    for k in range(3):
+        names = sorted({x[k] for x in cells})
+        have = np.array([sum(x[3] for x in cells if x[k] == name) for name in names], float)
+        got = np.array([sum(a * b for a, b, x in zip(n, p, cells, strict=True) if x[k] == name) for name in names])
+        want = M.reachable(have, M.target_shares(have, names, M.POWER, None), M.SHARE * n.sum())
+        assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_unreachable_targets_are_reported(spark):
+    cells = spark.createDataFrame([("a", "en", 0, 900), ("a", "fr", 0, 100)], "source string, lang string, topic int, n long")
+    with pytest.warns(UserWarning, match="misses targets"):
+        fitted = M.rake(cells, lang_shares={"fr": 0.5, "en": 0.5})
+    assert fitted.sample_error == pytest.approx(0.5 - 100 / 700)
+
+
 def brute_base(text):
     words = WORD.findall((text or "").translate(LOWER))
     starts, labels = [], set()
