@@ -166,6 +166,8 @@ def fit_encoder(df: DataFrame, target: str, stream: bool = False, train: Column
     classes: list[str] = []
     if task != "regression":
         label = F.when(x == F.floor(x), F.floor(x).cast("bigint").cast("string")).otherwise(y)
-        classes = [r[0] for r in rows.select(label).distinct().limit(MAX_CATEGORIES * 64).collect()]
+        classes = [r[0] for r in rows.select(label).distinct().limit(MAX_CATEGORIES * 64 + 1).collect()]
+        if len(classes) > MAX_CATEGORIES * 64:
+            raise ValueError(f"{target} has more than {MAX_CATEGORIES * 64} classes")
         classes.sort(key=(lambda c: (float(c), c)) if not stream and all(_whole(c) for c in classes) else str)
     return Encoder(target, task, [made[c] for c in order], classes, dropped, n, skipped, stream)

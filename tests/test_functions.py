@@ -134,3 +134,13 @@ def test_quick_profile_equals_the_exact_one(spark):
     exact = {r.column_name: r.asDict() for r in profile.column_profile(df).collect()}
     quick = profile.quick_profile(df, df.columns)
     assert all(exact[c][k] == v for c, p in quick.items() for k, v in p.items())
+
+
+def test_more_classes_than_kept_are_an_error(spark, monkeypatch):
+    import pytest
+
+    rows = spark.createDataFrame([(str(k * 0.5), "ab"[k % 2]) for k in range(40)], "x string, y string")
+    assert prepare.fit_encoder(rows, "y").classes == ["a", "b"]
+    monkeypatch.setattr(prepare, "MAX_CATEGORIES", 0)
+    with pytest.raises(ValueError, match="more than 0 classes"):
+        prepare.fit_encoder(rows, "y")
