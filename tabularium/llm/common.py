@@ -49,6 +49,14 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def located(df: DataFrame, file_col: str = "__file", row_col: str = "__row") -> DataFrame:
     """Adds a locator of each row (hash of its file's path, row in the file).
 

@@ -9,25 +9,32 @@ With a budget of k bits, k+1 disjoint blocks of bits leave at least one block of
 linked pair without a difference. So the trie is kept in k+1 rotations, each with
 another block on top, and the subtrees under the blocks are joined with themselves:
 k+1 copies of each distinct fingerprint are all that is shuffled, and no pair that
-differs in its top block is visited. A subtree with more than ``split_rows``
-fingerprints is cut one step further, into pairs of its nodes ``SPLIT_BITS`` lower,
-which other tasks take.
+differs in its top block is visited. A pair of nodes with more than ``split_rows``
+fingerprints is cut into pairs of nodes ``SPLIT_BITS`` lower, which other tasks take,
+and those again until none is that large.
 
 Linked fingerprints leave a task as stars around the smallest one of those the task
 found connected, never as all pairs.
+
+``near_duplicates`` links documents by the bits of one fingerprint. ``keep_similar`` asks
+for a Jaccard similarity of word shingles, from which a fingerprint of 64 bits strays too
+far for a narrow budget. It joins several tries, one for each of some fingerprints of the
+distinct words, and confirms by their whole sets of shingles the pairs that any of them
+links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import LOWER, located, materialize, trimmed, utf8
+from tabularium.llm.common import LOWER, located, materialize, trimmed, unused, utf8
 from tabularium.llm.components import connected_components
 
 SEED = 42
@@ -36,6 +43,10 @@ SPLIT_BITS = 8
 LEAF = 24
 #: Node pairs that are expanded at once, and links held before they become stars.
 FRONT, HELD = 200_000, 1_000_000
+#: Near copies: words of a shingle, least similarity, fingerprints and their budget.
+WIDTH, SIMILARITY, SKETCHES, SKETCH_BUDGET = 5, 0.8, 6, 3
+#: The bit map of places has this power of two of bits (4 MB).
+SLOTS = 25
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -94,15 +105,13 @@ def _stars(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def trie_links(keys: np.ndarray, al, ah, bl, bh, diff, bit: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the sorted distinct ``keys`` below the given node pairs, as stars of positions.
+def trie_links(keys: np.ndarray, al, ah, bl, bh, diff, bit: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of the sorted distinct ``keys`` below the given node pairs, as pairs of positions.
 
     A node is a range of ``keys`` that agree in their first ``bit`` bits; a node paired
     with itself has equal ranges. ``diff`` counts the bits in which a pair's paths differ.
     """
     stack = [(bit, *(np.asarray(x, np.int64) for x in (al, ah, bl, bh, diff)))]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
     while stack:
         bit, al, ah, bl, bh, d = stack.pop()
         if len(al) > FRONT:
@@ -122,11 +131,7 @@ def trie_links(keys: np.ndarray, al, ah, bl, bh, diff, bit: int, budget: int) ->
             i, j = a0[pair] + k // wide[pair], b0[pair] + k % wide[pair]
             ok = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
             if ok.any():
-                found.append((i[ok], j[ok]))
-                held += int(ok.sum())
-                if held > HELD:
-                    found = [_stars(*(np.concatenate(x) for x in zip(*found, strict=True)))]
-                    held = len(found[0][0])
+                yield i[ok], j[ok]
         go = live & ~small
         if not go.any():
             continue
@@ -151,96 +156,130 @@ def trie_links(keys: np.ndarray, al, ah, bl, bh, diff, bit: int, budget: int) ->
         nxt = [np.concatenate(x) for x in zip(*parts, strict=True)]
         if len(nxt[0]):
             stack.append((bit + 1, *nxt))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return _stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-
-def _join_cells(keys: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray, block_bits: int, budget: int):
-    """Links within cells: runs of equal ``cell`` whose rows lie under the nodes lo and hi (-1: under the block)."""
-    starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-    ends = np.r_[starts[1:], len(keys)]
-    for whole in (True, False):
-        pick = (lo[starts] < 0) == whole
-        s, e = starts[pick], ends[pick]
-        if not len(s):
-            continue
-        if whole:
-            # The cells are disjoint subtrees; sorted together they stay ranges.
-            yield from _linked(keys, [(s, e)], block_bits, budget)
-            continue
-        for x, y in zip(s, e, strict=True):
-            yield from _linked_pair(keys[x:y], int(lo[x]), int(hi[x]), block_bits, budget)
 
 
-def _linked(keys, ranges, bit, budget):
-    s, e = ranges[0]
-    part = np.sort(np.concatenate([keys[x:y] for x, y in zip(s, e, strict=True)]) if len(s) > 1 else keys[s[0] : e[0]])
-    head = part >> np.uint64(64 - bit)
-    at = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
-    to = np.r_[at[1:], len(part)]
-    i, j = trie_links(part, at, to, at, to, np.zeros(len(at), np.int64), bit, budget)
-    yield part[i], part[j]
+def _as_stars(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links' stars; at most about ``HELD`` links are held at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for x in found:
+        held.append(x)
+        if sum(len(i) for i, _ in held) > HELD:
+            held = [_stars(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            if len(held[0][0]) > HELD // 2:
+                yield held.pop()
+    if held:
+        yield _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _linked_pair(keys, lo, hi, bit, budget):
-    part = np.sort(keys)
-    deep = bit + SPLIT_BITS
-    node = (part >> np.uint64(64 - deep)) & np.uint64((1 << SPLIT_BITS) - 1)
-    a = np.searchsorted(node, [lo, lo + 1])
-    b = np.searchsorted(node, [hi, hi + 1])
-    if a[0] < a[1] and b[0] < b[1]:
-        i, j = trie_links(part, a[:1], a[1:], b[:1], b[1:], [(lo ^ hi).bit_count()], deep, budget)
-        yield part[i], part[j]
+def _cells(keys: np.ndarray, depth: int, lo: np.ndarray, hi: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, Iterator]]:
+    """For cells of one depth, sorted by (lo, hi): an order of the rows and the links of the rows so ordered.
+
+    A cell joins the nodes lo and hi at that depth; cells that join a node with itself
+    are disjoint subtrees and are walked together.
+    """
+    same = np.flatnonzero(lo == hi)
+    if len(same):
+        by = same[np.argsort(keys[same])]
+        part = keys[by]
+        at = np.flatnonzero(np.r_[True, lo[by][1:] != lo[by][:-1]])
+        to = np.r_[at[1:], len(part)]
+        yield by, trie_links(part, at, to, at, to, np.zeros(len(at), np.int64), depth, budget)
+    other = np.flatnonzero(lo != hi)
+    if not len(other):
+        return
+    starts = np.flatnonzero(np.r_[True, (lo[other][1:] != lo[other][:-1]) | (hi[other][1:] != hi[other][:-1])])
+    for x, y in zip(starts, np.r_[starts[1:], len(other)], strict=True):
+        by = other[x:y][np.argsort(keys[other[x:y]])]
+        part = keys[by]
+        # The unsigned path of hi is behind that of lo, so lo's rows come first.
+        cut = int(np.searchsorted(part >> np.uint64(64 - depth), np.uint64(hi[by[0]].view(np.uint64)))) if depth < 64 else 1
+        if 0 < cut < len(part):
+            diff = int(np.bitwise_count(lo[by[0]] ^ hi[by[0]]))
+            yield by, trie_links(part, [0], [cut], [cut], [len(part)], [diff], depth, budget)
 
 
 def _rotate(x, by: int):
     return x if by == 0 else F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
 
-def links(distinct: DataFrame, budget: int = 2, split_rows: int = 50_000, chunk_rows: int = 200_000) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp`` that connect all at most ``budget`` bits apart.
-
-    The edges span each group of fingerprints that links connect; they need not be
-    links themselves, but join only fingerprints that a chain of links joins.
+def _split(rows: DataFrame, depth: int, budget: int) -> DataFrame:
+    """Rows of cells of one depth, dealt to the pairs of nodes up to ``SPLIT_BITS`` lower within the budget."""
+    step = min(SPLIT_BITS, 64 - depth)
+    masks = [sum(1 << i for i in c) for k in range(min(budget, step) + 1) for c in combinations(range(step), k)]
+    own = F.shiftrightunsigned("key", 64 - depth - step).bitwiseAND(F.lit((1 << step) - 1))
+    on_lo = F.shiftrightunsigned("key", 64 - depth) == F.col("lo")
+    left = budget - F.bit_count(F.col("lo").bitwiseXOR(F.col("hi")))
+    dealt = rows.withColumns({"own": own, "on_lo": on_lo, "left": left}).withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))))
+    dealt = dealt.where(F.bit_count("mask") <= F.col("left"))
+    far = F.col("own").bitwiseXOR(F.col("mask"))
+    twin = F.col("lo") == F.col("hi")
+    low = F.when(twin, F.least("own", far)).when(F.col("on_lo"), F.col("own")).otherwise(far)
+    high = F.when(twin, F.greatest("own", far)).when(F.col("on_lo"), far).otherwise(F.col("own"))
+    return dealt.select(
+        "blk", "key", "label", "mixed", F.lit(depth + step).alias("depth"),
+        F.shiftleft("lo", step).bitwiseOR(low).alias("lo"), F.shiftleft("hi", step).bitwiseOR(high).alias("hi"),
+    )
+
+
+CELL = ("blk", "depth", "lo", "hi")
+
+
+def links(distinct: DataFrame, budget: int = 2, split_rows: int = 50_000, chunk_rows: int = 200_000, pairs: bool = False) -> DataFrame:
+    """Edges (family, u, v) between the distinct fingerprints (family int, fp long) of each family.
+
+    The edges connect all fingerprints at most ``budget`` bits apart. By default they are
+    stars that span what a task found connected: they need not be links themselves, but
+    join only fingerprints that a chain of links joins. With ``pairs`` they are the links
+    themselves, without those whose two fingerprints have the same ``label`` (a long) and
+    aren't ``mixed`` (a boolean), columns that must be there then.
     """
-    bits = 64 // (budget + 1)
-    rows = distinct.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(b).alias("blk"), _rotate(F.col("fp"), b * bits).alias("key")) for b in range(budget + 1)))).alias("c")
-    ).select("c.blk", "c.key", F.shiftrightunsigned("c.key", 64 - bits).alias("top"))
-    hot = rows.groupBy("blk", "top").count().where(F.col("count") > split_rows).select("blk", "top", F.lit(True).alias("hot"))
-    rows = rows.join(hot, ["blk", "top"], "left")
-    node = F.shiftrightunsigned("key", 64 - bits - SPLIT_BITS).bitwiseAND(F.lit((1 << SPLIT_BITS) - 1)).cast("int")
-    masks = [sum(1 << i for i in c) for k in range(min(budget, SPLIT_BITS) + 1) for c in combinations(range(SPLIT_BITS), k)]
-    near = F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(F.least(node, node.bitwiseXOR(m)).alias("lo"), F.greatest(node, node.bitwiseXOR(m)).alias("hi")))
-    one = F.array(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi")))
-    cells = (
-        rows.select("blk", "key", "top", F.explode(F.when(F.col("hot"), near).otherwise(one)).alias("n"))
-        .select("blk", "key", "top", "n.lo", "n.hi")
-        .repartition("blk", "top", "lo", "hi")
-        .sortWithinPartitions("blk", "top", "lo", "hi")
-    )
+    n, bits = budget + 1, 64 // (budget + 1)
+    kept = distinct if pairs else distinct.withColumns({"label": F.lit(0).cast("long"), "mixed": F.lit(True)})
+    turned = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), _rotate(F.col("fp"), b * bits).alias("key")) for b in range(n))))
+    rows = kept.select("family", "label", "mixed", turned.alias("c"))
+    top = F.shiftrightunsigned("c.key", 64 - bits)
+    rows = rows.select((F.col("family") * n + F.col("c.b")).alias("blk"), "c.key", "label", "mixed", F.lit(bits).alias("depth"), top.alias("lo"), top.alias("hi"))
+    depth = bits
+    while depth < 64:
+        hot = materialize(rows.where(F.col("depth") == depth).groupBy(*CELL).count().where(F.col("count") > split_rows).select(*CELL))
+        if hot.isEmpty():
+            break
+        rows = materialize(rows.join(hot, [*CELL], "left_anti").unionByName(_split(rows.join(hot, [*CELL], "left_semi"), depth, budget)))
+        depth += min(SPLIT_BITS, 64 - depth)
+    cells = rows.select("blk", "depth", "lo", "hi", "key", "label", "mixed").repartition(*CELL).sortWithinPartitions(*CELL)
+
+    def solve(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for blk, depth in sorted({*zip(part[0].tolist(), part[1].tolist(), strict=True)}):
+            pick = (part[0] == blk) & (part[1] == depth)
+            lo, hi, key, label, mixed = (x[pick] for x in part[2:])
+            family, b = divmod(blk, n)
+            for by, found in _cells(key.view(np.uint64), depth, lo, hi, budget):
+                keys, labels, mixes = key[by].view(np.uint64), label[by], mixed[by]
+
+                def once(found=found, keys=keys, labels=labels, mixes=mixes, b=b):
+                    """A link belongs to the first block of bits in which its ends agree."""
+                    for i, j in found:
+                        d = _back(keys[i] ^ keys[j], b * bits)
+                        ok = np.ones(len(i), bool)
+                        for e in range(b):
+                            ok &= (d >> np.uint64(64 - (e + 1) * bits)) & np.uint64((1 << bits) - 1) != 0
+                        if pairs:
+                            ok &= (labels[i] != labels[j]) | mixes[i] | mixes[j]
+                        if ok.any():
+                            yield i[ok], j[ok]
+
+                for i, j in once() if pairs else _as_stars(once()):
+                    ends = (pa.array(_back(keys[x], b * bits).view(np.int64)) for x in (i, j))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), family, np.int32)), *ends], names=["family", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(part):
-            blk, key, top, lo, hi = part
-            for b in np.unique(blk):
-                own = blk == b
-                for u, v in _join_cells(key[own].view(np.uint64), top[own], lo[own], hi[own], bits, budget):
-                    by = np.uint64(int(b) * bits)
-                    if by:
-                        u, v = ((x >> by) | (x << (np.uint64(64) - by)) for x in (u, v))
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
         rest = None
         for b in batches:
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
             if len(rest[0]) < chunk_rows:
                 continue
-            ids = [rest[i] for i in (0, 2, 3, 4)]
-            same = np.logical_and.reduce([x == x[-1] for x in ids])
+            same = np.logical_and.reduce([x == x[-1] for x in rest[:4]])
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
                 yield from solve([x[:cut] for x in rest])
@@ -248,13 +287,18 @@ def links(distinct: DataFrame, budget: int = 2, split_rows: int = 50_000, chunk_
         if rest is not None and len(rest[0]):
             yield from solve(rest)
 
-    return cells.mapInArrow(trimmed(run, 0), "u long, v long")
+    return cells.mapInArrow(trimmed(run, 0), "family int, u long, v long")
+
+
+def _back(x: np.ndarray, by: int) -> np.ndarray:
+    """``x`` rotated to the right."""
+    return (x >> np.uint64(by)) | (x << np.uint64(64 - by)) if by else x
 
 
 def classes(fps: DataFrame, id_col: str = "doc_id", budget: int = 2, split_rows: int = 50_000) -> DataFrame:
     """(fp, root, first_id) of every distinct fingerprint: its component's root and smallest id."""
     by_fp = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = connected_components(links(by_fp.select("fp"), budget, split_rows))
+    roots = connected_components(links(by_fp.select(F.lit(0).alias("family"), "fp"), budget, split_rows).select("u", "v"))
     every = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # Written before the join: Spark splits a skewed join only between plain shuffles.
     first = materialize(every.groupBy("root").agg(F.min("first").alias("first_id")))
@@ -278,18 +322,174 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def word_sketches(text: bytes | None, n: int = SKETCHES) -> tuple[int, np.ndarray]:
+    """A 64-bit digest of the text's words in order, and ``n`` fingerprints of its distinct words.
+
+    A fingerprint's bit is 1 if set in over half the words' hashes; each fingerprint has
+    a family of hashes of its own, made from a word's XXH64 by SplitMix64's finaliser.
+    """
+    import xxhash
+
+    words = (text or b"").translate(LOWER).split()
+    key = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    own = set(words)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), np.uint64, len(own))
+    counts = np.zeros((n, 64), np.int64)
+    step = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 1 << 13):
+        x = h[at : at + (1 << 13), None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(31))).astype("<u8")
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32).reshape(n, 64)
+    return key, np.packbits(2 * counts > len(h), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; one shingle if it has fewer words than ``width``, none without words."""
+    import xxhash
+
+    words = (text or b"").translate(LOWER).split()
+    n = max(1, len(words) - width + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + width]), SEED) for k in range(n)), np.uint64, n).view(np.int64))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def _read(src: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, text) of the texts at (key, file, row). A bit map of their places, 2^SLOTS bits
+    however many they are, keeps most others out of the join's shuffle."""
+
+    def slot() -> Column:
+        return F.shiftrightunsigned(F.xxhash64("file", "row"), 64 - SLOTS)
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot().bitwiseAND(F.lit(31)).cast("int"))
+    words = places.groupBy(F.shiftright(slot(), 5).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    bits = np.zeros(1 << SLOTS - 5, np.uint32)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(3).to_numpy()
+            yield b.select([0, 1, 2]).filter(pa.array(bits[s >> 5] >> (s & 31).astype(np.uint32) & 1 == 1))
+
+    rows = src.select("file", "row", "text", slot().alias("s")).mapInArrow(trimmed(run), "file long, row long, text string")
+    return rows.join(places, ["file", "row"]).select("key", "text")
+
+
+def _confirmed(pairs: DataFrame, places: DataFrame, src: DataFrame, width: int, t: Fraction) -> DataFrame:
+    """Those of the pairs (u, v) of keys whose texts' shingle sets have a similarity of at least ``t``."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(x, width) for x in utf8(b, "text")])], names=["key", "h"])
+
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    keys = materialize(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
+    at = materialize(places.join(keys, "key"))
+    found = materialize(_read(src, at).mapInArrow(trimmed(sets), "key long, h array<long>"))
+    a, b = found.select(F.col("key").alias("u"), F.col("h").alias("a")), found.select(F.col("key").alias("v"), F.col("h").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    enough = both * (t.numerator + t.denominator) >= (F.size("a") + F.size("b")) * t.numerator
+    return materialize(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v"))
+
+
+def _similar(texts: DataFrame, places: DataFrame, src: DataFrame, width: int, t: Fraction, budget: int, split_rows: int) -> DataFrame:
+    """Edges (u, v) between keys that connect all pairs that a trie links and the sets confirm.
+
+    ``texts`` has (key, fps), a row for each. What tasks found connected is first confirmed
+    against one text of it; then only links between different groups are enumerated.
+    """
+    rows = materialize(texts.select("key", F.posexplode("fps").alias("family", "fp")))
+    first = materialize(rows.groupBy("family", "fp").agg(F.min("key").alias("first")))
+    stars = links(first.select("family", "fp"), budget, split_rows)
+    for end in ("u", "v"):
+        stars = stars.join(first.select("family", F.col("fp").alias(end), F.col("first").alias(f"key_{end}")), ["family", end])
+    equal = rows.join(first, ["family", "fp"]).where(F.col("key") != F.col("first")).select(F.col("key").alias("u"), F.col("first").alias("v"))
+    edges = _confirmed(stars.select(F.col("key_u").alias("u"), F.col("key_v").alias("v")).unionByName(equal), places, src, width, t)
+    roots = connected_components(edges).withColumnRenamed("node", "key")
+    rows = materialize(rows.join(roots, "key", "left").select("key", "family", "fp", F.coalesce("root", "key").alias("c")))
+    groups = materialize(rows.groupBy("family", "fp").agg(F.min("c").alias("label"), (F.min("c") != F.max("c")).alias("mixed")))
+    near = links(groups, budget, split_rows, pairs=True).unionByName(groups.where("mixed").select("family", F.col("fp").alias("u"), F.col("fp").alias("v")))
+    near = materialize(near)
+    for end in ("u", "v"):
+        near = near.join(rows.select("family", F.col("fp").alias(end), F.col("key").alias(f"key_{end}"), F.col("c").alias(f"c_{end}")), ["family", end])
+    near = near.where(F.col("c_u") != F.col("c_v")).select(F.col("key_u").alias("u"), F.col("key_v").alias("v"))
+    return edges.unionByName(_confirmed(near, places, src, width, t))
+
+
+def _survivors(docs: DataFrame, id_col: str, text_col: str, rooted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs``, one of each group: that with the smallest id, of equal ids or without
+    any the first by file and row. ``rooted`` gives (id, file, row, root) for (id, text, file, row).
+    """
+    file, row = unused(docs.columns, "file"), unused(docs.columns, "row")
+    at = located(docs, file, row)
+    src = at.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))
+    rows = rooted(src)
+    first = materialize(rows.groupBy("root").agg(F.min(_order()).alias("w")).select("w.file", "w.row"))
+    losers = materialize(rows.select("file", "row").join(first, ["file", "row"], "left_anti"))
+    return at.join(losers.select(F.col("file").alias(file), F.col("row").alias(row)), [file, row], "left_anti").select(*_plain(docs))
+
+
+def _order() -> Column:
+    return F.struct(F.col("id").isNull().alias("n"), "id", "file", "row")
+
+
+def _plain(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest id.
+    """The rows of ``docs``, one of each component that ``near_duplicates`` finds: that with the smallest id.
 
-    Among rows that share this id (or when all ids are null) the first by file and
-    row stays. The texts are not shuffled unless the losers are too many to broadcast.
+    Null and wordless texts have fingerprint zero and link like any other. Among rows that
+    share the smallest id (or when all ids are null) the first by file and row stays.
+    Columns of any name come through; an empty table gives no rows. The texts are not
+    shuffled unless the losers are too many to broadcast.
     """
-    at = located(docs)
-    fps = materialize(fingerprints(at.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "__file", "__row"), "text", ("id", "__file", "__row")))
-    order = F.struct(F.col("id").isNull().alias("n"), "id", "__file", "__row")
-    rows = materialize(fps.join(classes(fps, "id", budget).select("fp", "root"), "fp"))
-    first = materialize(rows.groupBy("root").agg(F.min(order).alias("w")))
-    losers = materialize(
-        rows.join(first, "root").where((F.col("__file") != F.col("w.__file")) | (F.col("__row") != F.col("w.__row"))).select("__file", "__row")
-    )
-    return at.join(losers, ["__file", "__row"], "left_anti").drop("__file", "__row")
+
+    def rooted(src: DataFrame) -> DataFrame:
+        fps = materialize(fingerprints(src, "text", ("id", "file", "row")))
+        return materialize(fps.join(classes(fps, "id", budget).select("fp", "root"), "fp"))
+
+    return _survivors(docs, id_col, text_col, rooted)
+
+
+def keep_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY,
+    sketches: int = SKETCHES, budget: int = SKETCH_BUDGET, split_rows: int = 50_000,
+) -> DataFrame:
+    """The rows of ``docs``, one of each group that near copies connect: that with the smallest id.
+
+    Near copies are texts whose sets of ``width`` lower-case words have a Jaccard similarity
+    of at least ``similarity``, and whose distinct words' fingerprints are at most ``budget``
+    bits apart in one of ``sketches`` families: every pair left is confirmed, and pairs that
+    all families put further apart are missed. Equal word sequences are always one group, so
+    null and wordless texts are copies of each other; a text with fewer words than ``width``
+    is one shingle. Among rows that share the smallest id (or when all ids are null) the
+    first by file and row stays. Columns of any name come through; an empty table gives no
+    rows.
+    """
+    t = Fraction(similarity).limit_denominator(10_000)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [word_sketches(x, sketches) for x in utf8(b, "text")]
+            key = pa.array(np.array([k for k, _ in got], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), key, _lists([f.view(np.int64) for _, f in got])], names=["id", "file", "row", "key", "fps"])
+
+    def rooted(src: DataFrame) -> DataFrame:
+        id_type = src.schema["id"].dataType.simpleString()
+        kept = src.select("id", "file", "row", "text").mapInArrow(trimmed(marks), f"id {id_type}, file long, row long, key long, fps array<long>")
+        rows = materialize(kept)
+        texts = materialize(rows.groupBy("key").agg(F.min(_order()).alias("w"), F.max("fps").alias("fps")))
+        places = texts.select("key", "w.file", "w.row")
+        roots = connected_components(_similar(texts.select("key", "fps"), places, src, width, t, budget, split_rows)).withColumnRenamed("node", "key")
+        grouped = materialize(texts.join(roots, "key").select("key", "root"))
+        return rows.join(grouped, "key", "left").select("id", "file", "row", F.coalesce("root", "key").alias("root"))
+
+    return _survivors(docs, id_col, text_col, rooted)

@@ -26,7 +26,8 @@ def odd_docs(spark):
         (14, "\x00nul and �", "en", "c"),
     ]
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA)
-    clash = ["score", "fp", "block", "ids", "id", "media", "t", "key", "digest", "topic", "weight", "root", "words", "n_tokens", "_metadata", "file_path", "row_index"]
+    clash = ["score", "fp", "block", "ids", "id", "media", "t", "key", "digest", "topic", "weight", "root", "words", "n_tokens", "_metadata", "file_path", "row_index",
+             "__row", "__file", "file", "row", "__text", "__tokens", "__topic", "__source", "__lang", "__p", "__weight", "label", "u", "s", "i", "page"]
     from pyspark.sql import functions as F
 
     return df.select("*", *(F.lit("x").alias(c) for c in clash))

@@ -71,7 +71,7 @@ def test_no_link_is_lost(spark, split_rows, chunk_rows):
     """Also when every block is hot and is dealt as pairs of nodes."""
     prints = near_prints()
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, split_rows, chunk_rows)
+    edges = simhash.links(spark.createDataFrame([(0, x) for x in signed], "family int, fp long"), 2, split_rows, chunk_rows)
     at = {x: k for k, x in enumerate(signed)}
     root = list(range(len(prints)))
 
@@ -89,8 +89,25 @@ def test_no_link_is_lost(spark, split_rows, chunk_rows):
 def test_trie_links_of_all_pairs_near():
     keys = np.array(sorted({1 << a | 1 << b for a in range(64) for b in range(64)}), np.uint64)
     n = len(keys)
-    i, j = simhash.trie_links(keys, [0], [n], [0], [n], [0], 0, 2)
-    assert len(i) == n - 1
+    found = list(simhash.trie_links(keys, [0], [n], [0], [n], [0], 0, 2))
+    (i, j), = simhash._as_stars(iter(found))
+    assert len(i) == n - 1 and set(j) == {0}
+    every = [(a, b) for x, y in found for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    assert sorted(every) == [(a, b) for a in range(n) for b in range(a + 1, n) if int(keys[a] ^ keys[b]).bit_count() <= 2]
+
+
+@pytest.mark.parametrize("split_rows", [50_000, 5])
+def test_pairs_are_each_link_once(spark, split_rows):
+    """In two families, without links inside a label unless an end is mixed."""
+    prints = near_prints(centres=10)
+    rows = [(f, x - (1 << 64) if x >> 63 else x, x % 2, x % 7 == 0) for f in (0, 1) for x in prints[f * 100 :]]
+    df = spark.createDataFrame(rows, "family int, fp long, label long, mixed boolean")
+    got = sorted((r.family, *sorted((r.u, r.v))) for r in simhash.links(df, 3, split_rows, 64, pairs=True).collect())
+    want = [
+        (f, *sorted((x, y))) for k, (f, x, a, m) in enumerate(rows) for g, y, b, n in rows[:k]
+        if f == g and ((x ^ y) & (1 << 64) - 1).bit_count() <= 3 and (a != b or m or n)
+    ]
+    assert got == sorted(want) and len(want) > 100
 
 
 def test_components_of_a_chain_and_a_star(spark):
