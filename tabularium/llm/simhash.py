@@ -19,12 +19,16 @@ found connected, never as all pairs.
 ``near_duplicates`` links documents by the bits of one fingerprint. ``keep_similar`` asks
 for a Jaccard similarity of word shingles, from which a fingerprint of 64 bits strays too
 far for a narrow budget. It joins several tries, one for each of some fingerprints of the
-distinct words, and confirms by their whole sets of shingles the pairs that any of them
-links.
+distinct words. Texts with a link in any of them have their sets of shingles written to
+the shared folder; the join is walked again over these texts alone, and each task reads
+the sets of the pairs it meets and keeps the similar ones. Pairs that it has connected
+already are passed over, and again only stars leave it.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 from itertools import combinations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import LOWER, located, materialize, trimmed, unused, utf8
+from tabularium.llm.common import LOWER, file_system, located, materialize, shared_dir, trimmed, unused, utf8
 from tabularium.llm.components import connected_components
 
 SEED = 42
@@ -45,6 +49,8 @@ LEAF = 24
 FRONT, HELD = 200_000, 1_000_000
 #: Near copies: words of a shingle, least similarity, fingerprints and their budget.
 WIDTH, SIMILARITY, SKETCHES, SKETCH_BUDGET = 5, 0.8, 6, 3
+#: Bytes of shingle sets and files that a task holds.
+SETS_HELD, FILES_HELD = 64 << 20, 64
 #: The bit map of places has this power of two of bits (4 MB).
 SLOTS = 25
 
@@ -202,7 +208,7 @@ def _rotate(x, by: int):
     return x if by == 0 else F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
 
-def _split(rows: DataFrame, depth: int, budget: int) -> DataFrame:
+def _split(rows: DataFrame, depth: int, budget: int, carry: tuple[str, ...]) -> DataFrame:
     """Rows of cells of one depth, dealt to the pairs of nodes up to ``SPLIT_BITS`` lower within the budget."""
     step = min(SPLIT_BITS, 64 - depth)
     masks = [sum(1 << i for i in c) for k in range(min(budget, step) + 1) for c in combinations(range(step), k)]
@@ -216,7 +222,7 @@ def _split(rows: DataFrame, depth: int, budget: int) -> DataFrame:
     low = F.when(twin, F.least("own", far)).when(F.col("on_lo"), F.col("own")).otherwise(far)
     high = F.when(twin, F.greatest("own", far)).when(F.col("on_lo"), far).otherwise(F.col("own"))
     return dealt.select(
-        "blk", "key", "label", "mixed", F.lit(depth + step).alias("depth"),
+        "blk", "key", *carry, F.lit(depth + step).alias("depth"),
         F.shiftleft("lo", step).bitwiseOR(low).alias("lo"), F.shiftleft("hi", step).bitwiseOR(high).alias("hi"),
     )
 
@@ -224,68 +230,75 @@ def _split(rows: DataFrame, depth: int, budget: int) -> DataFrame:
 CELL = ("blk", "depth", "lo", "hi")
 
 
-def links(distinct: DataFrame, budget: int = 2, split_rows: int = 50_000, chunk_rows: int = 200_000, pairs: bool = False) -> DataFrame:
-    """Edges (family, u, v) between the distinct fingerprints (family int, fp long) of each family.
+Ends = tuple[np.ndarray, np.ndarray]
 
-    The edges connect all fingerprints at most ``budget`` bits apart. By default they are
-    stars that span what a task found connected: they need not be links themselves, but
-    join only fingerprints that a chain of links joins. With ``pairs`` they are the links
-    themselves, without those whose two fingerprints have the same ``label`` (a long) and
-    aren't ``mixed`` (a boolean), columns that must be there then.
+
+def links(
+    prints: DataFrame, budget: int = 2, split_rows: int = 50_000, chunk_rows: int = 200_000, carry: tuple[str, ...] = (),
+    stars: Callable[[], Callable[[Iterator[Ends], list[np.ndarray]], Iterator[Ends]]] | None = None,
+) -> DataFrame:
+    """Edges (family, u, v) that connect all fingerprints (family int, fp long) of a family at most ``budget`` bits apart.
+
+    By default they are stars over the distinct fingerprints of what a task found
+    connected: the ends need not be linked themselves, but only a chain of links joins
+    them. ``stars``, called once a task, gives a function that turns links (positions i
+    and j) into edges by the columns ``carry`` (longs); fingerprints may repeat then.
     """
     n, bits = budget + 1, 64 // (budget + 1)
-    kept = distinct if pairs else distinct.withColumns({"label": F.lit(0).cast("long"), "mixed": F.lit(True)})
     turned = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), _rotate(F.col("fp"), b * bits).alias("key")) for b in range(n))))
-    rows = kept.select("family", "label", "mixed", turned.alias("c"))
+    rows = prints.select("family", *carry, turned.alias("c"))
     top = F.shiftrightunsigned("c.key", 64 - bits)
-    rows = rows.select((F.col("family") * n + F.col("c.b")).alias("blk"), "c.key", "label", "mixed", F.lit(bits).alias("depth"), top.alias("lo"), top.alias("hi"))
+    rows = rows.select((F.col("family") * n + F.col("c.b")).alias("blk"), "c.key", *carry, F.lit(bits).alias("depth"), top.alias("lo"), top.alias("hi"))
     depth = bits
     while depth < 64:
         hot = materialize(rows.where(F.col("depth") == depth).groupBy(*CELL).count().where(F.col("count") > split_rows).select(*CELL))
         if hot.isEmpty():
             break
-        rows = materialize(rows.join(hot, [*CELL], "left_anti").unionByName(_split(rows.join(hot, [*CELL], "left_semi"), depth, budget)))
+        rows = materialize(rows.join(hot, [*CELL], "left_anti").unionByName(_split(rows.join(hot, [*CELL], "left_semi"), depth, budget, carry)))
         depth += min(SPLIT_BITS, 64 - depth)
-    cells = rows.select("blk", "depth", "lo", "hi", "key", "label", "mixed").repartition(*CELL).sortWithinPartitions(*CELL)
+    cells = rows.select(*CELL, "key", *carry).repartition(*CELL).sortWithinPartitions(*CELL)
 
-    def solve(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def solve(part: list[np.ndarray], edges) -> Iterator[pa.RecordBatch]:
         for blk, depth in sorted({*zip(part[0].tolist(), part[1].tolist(), strict=True)}):
             pick = (part[0] == blk) & (part[1] == depth)
-            lo, hi, key, label, mixed = (x[pick] for x in part[2:])
+            lo, hi, key, *other = (x[pick] for x in part[2:])
             family, b = divmod(blk, n)
             for by, found in _cells(key.view(np.uint64), depth, lo, hi, budget):
-                keys, labels, mixes = key[by].view(np.uint64), label[by], mixed[by]
+                keys = key[by].view(np.uint64)
 
-                def once(found=found, keys=keys, labels=labels, mixes=mixes, b=b):
+                def once(found=found, keys=keys, b=b):
                     """A link belongs to the first block of bits in which its ends agree."""
                     for i, j in found:
                         d = _back(keys[i] ^ keys[j], b * bits)
                         ok = np.ones(len(i), bool)
                         for e in range(b):
                             ok &= (d >> np.uint64(64 - (e + 1) * bits)) & np.uint64((1 << bits) - 1) != 0
-                        if pairs:
-                            ok &= (labels[i] != labels[j]) | mixes[i] | mixes[j]
                         if ok.any():
                             yield i[ok], j[ok]
 
-                for i, j in once() if pairs else _as_stars(once()):
-                    ends = (pa.array(_back(keys[x], b * bits).view(np.int64)) for x in (i, j))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), family, np.int32)), *ends], names=["family", "u", "v"])
+                if edges:
+                    pairs = edges(once(), [x[by] for x in other])
+                else:
+                    pairs = ([_back(keys[x], b * bits).view(np.int64) for x in ends] for ends in _as_stars(once()))
+                for u, v in pairs:
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), family, np.int32)), pa.array(u), pa.array(v)], names=["family", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = stars() if stars else None
         rest = None
         for b in batches:
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5 + len(carry))]
             rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
             if len(rest[0]) < chunk_rows:
                 continue
             same = np.logical_and.reduce([x == x[-1] for x in rest[:4]])
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
-                yield from solve([x[:cut] for x in rest])
+                yield from solve([x[:cut] for x in rest], edges)
                 rest = [x[cut:] for x in rest]
         if rest is not None and len(rest[0]):
-            yield from solve(rest)
+            yield from solve(rest, edges)
 
     return cells.mapInArrow(trimmed(run, 0), "family int, u long, v long")
 
@@ -381,45 +394,123 @@ def _read(src: DataFrame, places: DataFrame) -> DataFrame:
     return rows.join(places, ["file", "row"]).select("key", "text")
 
 
-def _confirmed(pairs: DataFrame, places: DataFrame, src: DataFrame, width: int, t: Fraction) -> DataFrame:
-    """Those of the pairs (u, v) of keys whose texts' shingle sets have a similarity of at least ``t``."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(x, width) for x in utf8(b, "text")])], names=["key", "h"])
+class Sets:
+    """Sets of shingle hashes in the shared folder, read by their byte ranges; the last ones used are held."""
+
+    def __init__(self, uri: str):
+        self.store, self.root = file_system(uri)
+        self.files: OrderedDict = OrderedDict()
+        self.known: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
+        self.held = 0
+
+    def get(self, segment: int, offset: int, size: int) -> np.ndarray:
+        at = segment, offset
+        if at in self.known:
+            self.known.move_to_end(at)
+            return self.known[at]
+        if segment not in self.files:
+            self.files[segment] = self.store.open_input_file(f"{self.root}/{segment:016x}")
+            if len(self.files) > FILES_HELD:
+                self.files.popitem(last=False)[1].close()
+        self.files.move_to_end(segment)
+        out = self.known[at] = np.frombuffer(self.files[segment].read_at(size, offset), "<i8")
+        self.held += size
+        while self.held > SETS_HELD and len(self.known) > 2:
+            self.held -= self.known.popitem(last=False)[1].nbytes
+        return out
+
+
+def write_sets(texts: DataFrame, uri: str, width: int = WIDTH) -> DataFrame:
+    """Writes the shingle sets of rows (key, text) below ``uri``; (key, digest, segment, offset, size) of each.
+
+    Files get names that no other attempt uses; nothing reads what a lost attempt left.
+    """
+    import xxhash
 
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
-    keys = materialize(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
-    at = materialize(places.join(keys, "key"))
-    found = materialize(_read(src, at).mapInArrow(trimmed(sets), "key long, h array<long>"))
-    a, b = found.select(F.col("key").alias("u"), F.col("h").alias("a")), found.select(F.col("key").alias("v"), F.col("h").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    enough = both * (t.numerator + t.denominator) >= (F.size("a") + F.size("b")) * t.numerator
-    return materialize(pairs.join(a, "u").join(b, "v").where(enough).select("u", "v"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = file_system(uri)
+        segment, at, out = uuid.uuid4().int >> 65, 0, None
+        try:
+            for b in batches:
+                rows = []
+                for x in utf8(b, "text"):
+                    raw = shingle_set(x, width).astype("<i8").tobytes()
+                    out = out or store.open_output_stream(f"{root}/{segment:016x}", compression=None)
+                    out.write(raw)
+                    rows.append((xxhash.xxh3_64_intdigest(raw) - (1 << 63), segment, at, len(raw)))
+                    at += len(raw)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=["key", "digest", "segment", "offset", "size"])
+        finally:
+            if out:
+                out.close()
+
+    store, root = file_system(uri)
+    store.create_dir(root, recursive=True)
+    return materialize(texts.select("key", "text").mapInArrow(trimmed(run), "key long, digest long, segment long, offset long, size long"))
+
+
+def similar_stars(uri: str, t: Fraction) -> Callable[[], Callable[[Iterator[Ends], list[np.ndarray]], Iterator[Ends]]]:
+    """For ``links`` that carry (id, segment, offset, size): stars of ids that links of similar sets connect."""
+    p, q = t.numerator, t.denominator
+
+    def begin():
+        sets = Sets(uri)
+
+        def edges(found: Iterator[Ends], carried: list[np.ndarray]) -> Iterator[Ends]:
+            ids, segment, offset, size = carried
+            root = np.arange(len(ids))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            def alike(a: int, b: int) -> bool:
+                x, y = (sets.get(int(segment[k]), int(offset[k]), int(size[k])) for k in (a, b))
+                return len(np.intersect1d(x, y, assume_unique=True)) * (p + q) >= (len(x) + len(y)) * p
+
+            for i, j in found:
+                sized = np.maximum(size[i], size[j]) * p <= np.minimum(size[i], size[j]) * q
+                by = np.flatnonzero(sized)[np.lexsort((j[sized], i[sized]))]
+                i, j = i[by], j[by]
+                while len(i):
+                    apart = root[i] != root[j]  # connected pairs with unequal roots are found below
+                    i, j = i[apart], j[apart]
+                    for a, b in zip(i[:4096].tolist(), j[:4096].tolist(), strict=True):
+                        u, v = find(a), find(b)
+                        if u != v and alike(a, b):
+                            root[max(u, v)] = min(u, v)
+                    i, j = i[4096:], j[4096:]
+                    while (root != root[root]).any():
+                        root = root[root]
+            other = root != np.arange(len(ids))
+            yield ids[other], ids[root[other]]
+
+        return edges
+
+    return begin
 
 
 def _similar(texts: DataFrame, places: DataFrame, src: DataFrame, width: int, t: Fraction, budget: int, split_rows: int) -> DataFrame:
     """Edges (u, v) between keys that connect all pairs that a trie links and the sets confirm.
 
-    ``texts`` has (key, fps), a row for each. What tasks found connected is first confirmed
-    against one text of it; then only links between different groups are enumerated.
+    ``texts`` has (key, fps), a row for each; ``places`` where in ``src`` a key's text is.
     """
     rows = materialize(texts.select("key", F.posexplode("fps").alias("family", "fp")))
-    first = materialize(rows.groupBy("family", "fp").agg(F.min("key").alias("first")))
-    stars = links(first.select("family", "fp"), budget, split_rows)
-    for end in ("u", "v"):
-        stars = stars.join(first.select("family", F.col("fp").alias(end), F.col("first").alias(f"key_{end}")), ["family", end])
-    equal = rows.join(first, ["family", "fp"]).where(F.col("key") != F.col("first")).select(F.col("key").alias("u"), F.col("first").alias("v"))
-    edges = _confirmed(stars.select(F.col("key_u").alias("u"), F.col("key_v").alias("v")).unionByName(equal), places, src, width, t)
-    roots = connected_components(edges).withColumnRenamed("node", "key")
-    rows = materialize(rows.join(roots, "key", "left").select("key", "family", "fp", F.coalesce("root", "key").alias("c")))
-    groups = materialize(rows.groupBy("family", "fp").agg(F.min("c").alias("label"), (F.min("c") != F.max("c")).alias("mixed")))
-    near = links(groups, budget, split_rows, pairs=True).unionByName(groups.where("mixed").select("family", F.col("fp").alias("u"), F.col("fp").alias("v")))
-    near = materialize(near)
-    for end in ("u", "v"):
-        near = near.join(rows.select("family", F.col("fp").alias(end), F.col("key").alias(f"key_{end}"), F.col("c").alias(f"c_{end}")), ["family", end])
-    near = near.where(F.col("c_u") != F.col("c_v")).select(F.col("key_u").alias("u"), F.col("key_v").alias("v"))
-    return edges.unionByName(_confirmed(near, places, src, width, t))
+    counted = materialize(rows.groupBy("family", "fp").agg(F.count("*").alias("k")))
+    stars = links(counted.select("family", "fp"), budget, split_rows)
+    met = stars.select("family", F.explode(F.array("u", "v")).alias("fp")).unionByName(counted.where("k > 1").select("family", "fp"))
+    keys = materialize(rows.join(materialize(met.distinct()), ["family", "fp"], "left_semi").select("key").distinct())
+    uri = shared_dir(src.sparkSession)
+    sets = write_sets(_read(src, materialize(places.join(keys, "key"))), uri, width)
+    heads = materialize(sets.groupBy("digest").agg(F.min("key").alias("head")))
+    equal = sets.join(heads, "digest").where(F.col("key") != F.col("head")).select(F.col("key").alias("u"), F.col("head").alias("v"))
+    carry = ("id", "segment", "offset", "size")
+    first = materialize(sets.join(heads, F.col("key") == F.col("head"), "left_semi"))
+    again = materialize(rows.join(first, "key").select("family", "fp", F.col("key").alias("id"), *carry[1:]))
+    return links(again, budget, split_rows, carry=carry, stars=similar_stars(uri, t)).select("u", "v").unionByName(equal)
 
 
 def _survivors(docs: DataFrame, id_col: str, text_col: str, rooted: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -467,8 +558,8 @@ def keep_similar(
 
     Near copies are texts whose sets of ``width`` lower-case words have a Jaccard similarity
     of at least ``similarity``, and whose distinct words' fingerprints are at most ``budget``
-    bits apart in one of ``sketches`` families: every pair left is confirmed, and pairs that
-    all families put further apart are missed. Equal word sequences are always one group, so
+    bits apart in one of ``sketches`` families: each such pair is compared by its whole sets,
+    and pairs that all families put further apart are missed. Equal word sequences are always one group, so
     null and wordless texts are copies of each other; a text with fewer words than ``width``
     is one shingle. Among rows that share the smallest id (or when all ids are null) the
     first by file and row stays. Columns of any name come through; an empty table gives no
