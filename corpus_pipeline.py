@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabularium.llm import bpe, mixing, near_copies, quality, toxicity
+from tabularium.llm import bpe, mixing, quality, simhash, toxicity
 from tabularium.llm.common import materialize, table
 from tabularium.llm.queries import tokenizer_file
 
@@ -24,11 +24,12 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of documents whose five-word shingles are at least 0.8 similar, that with the smallest doc_id stays.
+    """SimHash near-dedup: of documents whose five-word shingles are at least 0.8 similar, that with the smallest doc_id stays.
 
-    op3's two bits of SimHash miss nearly all of these pairs, so they are found by an exact join.
+    op3's two bits of one fingerprint miss nearly all of these pairs, so tries of several
+    fingerprints propose them and the shingles confirm them.
     """
-    return near_copies.keep_one(docs, width=5, similarity=0.8)
+    return simhash.keep_similar(docs, width=5, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
