@@ -92,7 +92,9 @@ _QUALITY_SQL = rf"""
 def _license_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"({quoted(sorted(set(t.split())))}, '{label}')" for label, t in licenses.TEMPLATES)
+    pairs = lambda text: quoted(sorted({" ".join(x) for x in zip(text.split(), text.split()[1:], strict=False)}))
+    templates = ", ".join(f"({pairs(t)}, '{label}', {pairs(n)}::VARCHAR[])" for label, t, n in licenses.TEMPLATES)
+    size, half = licenses.WINDOW, licenses.WINDOW // 2
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
     WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -106,8 +108,12 @@ def _license_sql() -> str:
     l2 AS (SELECT doc_id, k, regexp_extract_all(ls[k], '{word}') AS lw FROM l1),
     l3 AS (SELECT *, sum(CASE WHEN len(lw) = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM l2),
     bl AS (SELECT doc_id, lw AS words FROM l3 WHERE len(lw) > 0 UNION ALL SELECT doc_id, flatten(list(lw)) FROM l3 WHERE len(lw) > 0 GROUP BY doc_id, run HAVING count(*) > 1),
-    tp AS (SELECT * FROM (VALUES {templates}) AS x(tw, label)),
-    m AS (SELECT doc_id, label, len(list_intersect(tw, words))::DOUBLE / len(tw) AS c FROM bl, tp WHERE len(list_intersect(tw, words)) >= ceil({licenses.THRESHOLD}::DOUBLE * len(tw) - 1e-9::DOUBLE)),
+    wi AS (SELECT doc_id, words FROM bl WHERE len(words) <= {size} UNION ALL
+           SELECT doc_id, list_slice(words, s + 1, s + {size}) FROM (SELECT doc_id, words, unnest(range(0, len(words) - {half}, {half})) AS s FROM bl WHERE len(words) > {size})),
+    tk AS (SELECT doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS words FROM wi),
+    tp AS (SELECT * FROM (VALUES {templates}) AS x(tw, label, naming)),
+    m AS (SELECT doc_id, label, len(list_intersect(tw, words))::DOUBLE / len(tw) AS c FROM tk, tp
+          WHERE len(list_intersect(naming, words)) = len(naming) AND len(list_intersect(tw, words)) >= ceil({licenses.THRESHOLD}::DOUBLE * len(tw) - 1e-9::DOUBLE)),
     mm AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS labels FROM m GROUP BY doc_id)
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(mm.labels, [])))), ','), '') AS labels,

@@ -117,11 +117,13 @@ def brute_labels(text, threshold=L.THRESHOLD):
             if len(run) > 1:
                 groups.append(sum(run, []))
             run = []
-    for label, template in L.TEMPLATES:
-        t = set(template.split())
-        for b in groups:
-            n = len(t & set(b))
-            if n >= math.ceil(threshold * len(t) - 1e-9):
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    cut = [g[k : k + 120] for g in groups for k in (range(0, len(g) - 60, 60) if len(g) > 120 else [0])]
+    for label, template, naming in L.TEMPLATES:
+        t, named = pairs(template.split()), pairs(naming.split())
+        for b in map(pairs, cut):
+            n = len(t & b)
+            if named <= b and n >= math.ceil(threshold * len(t) - 1e-9):
                 found[label] = max(found.get(label, 0), n / len(t))
     return ",".join(sorted(found)), max(found.values(), default=0.0)
 
@@ -149,16 +151,41 @@ def test_filters_lose_no_match():
         ix = L.build_index(freq, L.TEMPLATES, threshold)
         for _ in range(300):
             base = L.TEMPLATES[rng.integers(len(L.TEMPLATES))][1].encode().split()
-            block = [w for w in base if rng.random() < 0.85] + [vocabulary[k] for k in rng.integers(0, len(vocabulary), rng.integers(0, 9))] + [b"other"]
-            want = {}
-            for k, (_, t) in enumerate(L.TEMPLATES):
-                s = set(t.encode().split())
-                n = len(s & set(block))
-                if n >= math.ceil(threshold * len(s) - 1e-9):
+            extra = [w for k in rng.integers(0, len(vocabulary), rng.integers(0, 9)) for w in vocabulary[k]]
+            block = [w for w in base if rng.random() < 0.95] + extra + [b"other"]
+            pairs, want = set(zip(block, block[1:], strict=False)), {}
+            for k, (_, t, naming) in enumerate(L.TEMPLATES):
+                s, named = L._of(t), L._of(naming)
+                n = len(s & pairs)
+                if named <= pairs and n >= math.ceil(threshold * len(s) - 1e-9):
                     want[k] = n / len(s)
             assert L.matches(block, ix) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Released under the BSD license.", "bsd"),
+        ("Licensed under the Mozilla Public License Version 2.0", "mpl-2"),
+        ("Licensed under CC BY 4.0", "cc-by"),
+        ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+        ("all other rights were reserved", ""),
+        ("under the GNU Affero General Public License you can redistribute it and/or modify it. This program is free software", ""),
+        ("the license was released by mit under protest of the apache version 2 license of 0", ""),
+        ("Released under the MIT License", "mit"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2"),
+        ("x " * 300 + "All rights reserved", "all-rights-reserved"),
+    ],
+)
+def test_the_license_that_is_named(text, labels):
+    ix = L.build_index({})
+    found = {ix.labels[k] for _, words in L.blocks(text.encode().translate(L.WORDS)) for k in L.matches(words, ix)}
+    assert ",".join(sorted(found)) == labels
+
+
 def test_license_blocks_and_empty(spark, no_docs, odd_docs):
     df = spark.createDataFrame([(1, NOTES[1])], "doc_id long, text string")
     rows = L.license_blocks(df).collect()
