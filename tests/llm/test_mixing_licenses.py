@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -30,10 +31,15 @@ def test_raking_and_sampling_equal_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = M.mix(docs).collect()
     text = {r.doc_id: r.text for r in docs.collect()}
+    weights = M.fit_topics(docs).weights
     cells = {}
     for r in rows:
-        n, topic = M.tokens_and_topic(text[r.doc_id].encode())
-        assert (r.n_tokens, r.topic) == (n, topic)
+        words = text[r.doc_id].encode().split()
+        v = np.zeros(M.DIMENSIONS)
+        for w in {w for w in words if len(w) > 3}:
+            v[zlib.crc32(w) % M.DIMENSIONS] += math.log1p(words.count(w))
+        n = len(words) + 1
+        assert (r.n_tokens, r.topic) == (n, str((weights @ v).round(9).argmax()))
         cells[r.source, r.lang, r.topic] = cells.get((r.source, r.lang, r.topic), 0) + n
     g = brute_rake([(*k, n) for k, n in cells.items()])
     assert max(abs(r.weight / g[r.source, r.lang, r.topic] - 1) for r in rows) < 1e-6
@@ -43,6 +49,37 @@ def test_raking_and_sampling_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
 
 
+def test_expected_sample_meets_every_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = M.mix(docs).collect()
+    for key in ("source", "lang", "topic"):
+        names = sorted({r[key] for r in rows})
+        have = np.array([sum(r.n_tokens for r in rows if r[key] == x) for x in names], float)
+        got = np.array([sum(r.n_tokens * r.probability for r in rows if r[key] == x) for x in names])
+        # The target shares; names that have less than that come whole and the others share the rest.
+        want = M.reachable(have, M.target_shares(have, names, M.POWER, None), M.SHARE * have.sum())
+        assert np.abs(got - want).max() / got.sum() < 0.002
+
+
+def test_topics_part_what_differs(spark):
+    rng = np.random.default_rng(1)
+    kinds = [[f"{name}{k}" for k in range(60)] for name in ("cook", "ship", "note")]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3], 40)), "s", "en") for i in range(150)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    groups = [{r.topic for r in got if r.doc_id % 3 == k} for k in range(3)]
+    assert not any(groups[a] & groups[b] for a in range(3) for b in range(a))
+
+
+def test_given_topics_and_tokens(spark):
+    df = spark.createDataFrame([(i, "x", "s", "en", ["a", "b", None][i % 3], [10, 20, None, -5][i % 4]) for i in range(120)], "doc_id long, text string, source string, lang string, about string, n int")
+    rows = M.mix(df, topic_col="about", tokens_col="n", topic_shares={"a": 0.5}, share=0.3).collect()
+    assert {(r.doc_id, r.topic, r.n_tokens) for r in rows} == {(i, ["a", "b", ""][i % 3], [10, 20, 0, 0][i % 4]) for i in range(120)}
+    total = sum(r.probability * r.n_tokens for r in rows)
+    assert sum(r.probability * r.n_tokens for r in rows if r.topic == "a") / total == pytest.approx(0.5, abs=0.002)
+    kept = M.sample(df, topic_col="about", tokens_col="n", topic_shares={"a": 0.5}, share=0.3)
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
+
+
 def test_given_targets_are_met(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = M.mix(docs, share=0.2, lang_shares={"en": 0.25, "fr": 0.4}, source_shares={"src1": 0.1}).collect()
@@ -71,8 +108,8 @@ def test_scale():
 def test_sample_meets_targets_where_chances_are_bounded(spark):
     """A hot source of a third of the tokens: cells at chance 1 are made up for by others."""
     rng = np.random.default_rng(4)
-    cells = [(f"s{s}", lang, t, int(rng.integers(20, 60) * w * (40 if s == 0 else 1))) for s in range(20) for lang, w in (("en", 12), ("fr", 2), ("es", 1)) for t in range(4)]
-    fitted = M.rake(spark.createDataFrame(cells, "source string, lang string, topic int, n long"))
+    cells = [(f"s{s}", lang, t, int(rng.integers(20, 60) * w * (40 if s == 0 else 1))) for s in range(20) for lang, w in (("en", 12), ("fr", 2), ("es", 1)) for t in "0123"]
+    fitted = M.rake(spark.createDataFrame(cells, "source string, lang string, topic string, n long"))
     row = {r.source: r for r in fitted.sources.collect()}
     p = [min(1.0, row[s].chance * fitted.lang_chances[g] * fitted.topic_chances[t]) for s, g, t, _ in cells]
     n = np.array([float(x[3]) for x in cells])
@@ -86,7 +123,7 @@ def test_sample_meets_targets_where_chances_are_bounded(spark):
 
 
 def test_unreachable_targets_are_reported(spark):
-    cells = spark.createDataFrame([("a", "en", 0, 900), ("a", "fr", 0, 100)], "source string, lang string, topic int, n long")
+    cells = spark.createDataFrame([("a", "en", "0", 900), ("a", "fr", "0", 100)], "source string, lang string, topic string, n long")
     with pytest.warns(UserWarning, match="misses targets"):
         fitted = M.rake(cells, lang_shares={"fr": 0.5, "en": 0.5})
     assert fitted.sample_error == pytest.approx(0.5 - 100 / 700)
