@@ -24,6 +24,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ from tabularium.llm.common import file_system, located, materialize, shared_dir,
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 256 << 20
 BLOCK_LINES = 256
+#: Bytes of records that a task reads back.
+TASK_BYTES = 32 << 20
 #: Records whose gap is at most this are read in one range of at most ``READ_BYTES``.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
 #: The tables have no capture time; records carry this one.
@@ -60,6 +63,11 @@ def _clean(value: str | None) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value or "")
 
 
+def _field(value: str) -> str:
+    """A page id as a header's value; ``unquote`` gives it back, blanks and line ends included."""
+    return quote(value, safe="")
+
+
 def _urn(file: int, row: int) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(b'%d/%d' % (file, row)).digest()[:16])}>"
 
@@ -79,11 +87,11 @@ def record(page: str | None, url: str | None, payload: bytes, digest: str, urn:
         f"Content-Length: {len(body)}",
     ]
     if page is not None:
-        head.append(f"X-Page-ID: {_clean(page)}")
+        head.append(f"X-Page-ID: {_field(page)}")
     if refers:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers[1]}"]
         if refers[0] is not None:
-            head.append(f"X-Refers-To-Page-ID: {_clean(refers[0])}")
+            head.append(f"X-Refers-To-Page-ID: {_field(refers[0])}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -281,7 +289,9 @@ def fetch(captures: DataFrame, uri: str, with_payload: bool = True) -> DataFrame
     A response's size and digest are computed from the payload that was read and must
     equal what its headers say; a revisit's come from its headers, its payload is null.
     """
-    near = captures.select("key", "segment", "offset", "size", F.floor(F.col("offset") / (16 * READ_BYTES)).alias("part"))
+    near = materialize(captures.select("key", "segment", "offset", "size", F.floor(F.col("offset") / TASK_BYTES).alias("part")))
+    # Captures are tiny next to the records that they name: the number of tasks follows from the records' bytes.
+    tasks = max(1, -(-(near.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES), min(near.select("segment", "part").distinct().count(), near.sparkSession.sparkContext.defaultParallelism))
 
     def read(store, path: str, rows: list[tuple]) -> Iterator[tuple]:
         with store.open_input_file(path) as f:
@@ -303,7 +313,8 @@ def fetch(captures: DataFrame, uri: str, with_payload: bool = True) -> DataFrame
                             raise ValueError(f"payload at {path}:{offset} differs from its header")
                     else:
                         digest, n, body = stated, int(http["content-length"]), None
-                    yield key, head.get("x-page-id"), head["warc-type"], n, digest, head.get("x-refers-to-page-id"), body if with_payload else None
+                    page, to_page = (None if x is None else unquote(x) for x in (head.get("x-page-id"), head.get("x-refers-to-page-id")))
+                    yield key, page, head["warc-type"], n, digest, to_page, body if with_payload else None
                 lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +334,7 @@ def fetch(captures: DataFrame, uri: str, with_payload: bool = True) -> DataFrame
             if out:
                 yield _batch(out, FETCHED)
 
-    return near.repartition("segment", "part").sortWithinPartitions("segment", "offset").mapInArrow(trimmed(run, 0), FETCHED)
+    return near.repartition(tasks, "segment", "part").sortWithinPartitions("segment", "offset").mapInArrow(trimmed(run, 0), FETCHED)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:

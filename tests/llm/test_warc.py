@@ -110,3 +110,11 @@ def test_damaged_payload_is_noticed(spark):
     row = spark.createDataFrame([(c.key, c.page, c.segment, 0, len(bad), c.type, c.digest)], W.CAPTURE)
     with pytest.raises(Exception, match="differs from its header"):
         W.fetch(row, folder).collect()
+
+
+def test_ids_of_any_text_come_back(spark):
+    ids = ["a ", " a", "x\ty", "%20", "é\r\nb", ""]
+    df = spark.createDataFrame([(i, f"http://a.org/{k}", "payload " * 20) for k, i in enumerate(ids)], "page_id string, url string, html string")
+    rows = W.round_trip(df).collect()
+    assert sorted(r.page_id for r in rows) == sorted(ids)
+    assert {r.refers_to for r in rows} == {None, min(ids)}
