@@ -89,6 +89,15 @@ def adapt_batch(evaluations: DataFrame, run: str, step: str, score: str, batch:
     return ordered.select(run, F.expr(f"aggregate(s, {start}, (a, x) -> {new})").alias("a")).select(run, "a.batch", "a.adjustments")
 
 
+def next_batch(scores: list[float], batch: int, least: int, most: int, train_records: int) -> int:
+    """The batch after a run's latest score, by the rules of ``adapt_batch``."""
+    if len(scores) > 2 and scores[-1] < max(scores[-3:-1]) - 0.04 and batch > least:
+        return max(least, batch // 2)
+    if len(scores) in (2, 4) and abs(scores[-1] - scores[-2]) <= 0.02 and batch < most and train_records >= batch * 8:
+        return min(most, batch * 2)
+    return batch
+
+
 def rate_limit(hits: DataFrame, bucket: str, seconds: str, most: int, window: int = 60) -> DataFrame:
     """(bucket, seconds, allowed): a hit passes if fewer than ``most`` passed in the window before it.
 

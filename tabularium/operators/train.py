@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions.numbers import all_finite, argmax, dot, sigmoid, softmax
+from tabularium.operators.order import with_ordinal
 
 #: Default learning rates of linear models by hardware profile. Fixed values.
 RATES = {"low-memory": 0.025, "balanced": 0.035, "performance": 0.04, "workstation": 0.04}
@@ -122,19 +123,12 @@ def minibatch(df: DataFrame, key: str, step: int, size: int, total: int, seed: i
     return df.where(u < share)
 
 
-def train_block(x: np.ndarray, y: np.ndarray, model: Linear, steps: int, batch: int, rate: float, decay: float = 0.0, seed: int = 42) -> Linear:
-    """Many random mini-batch steps in one call on a block of rows that fits in memory.
-
-    For bounded blocks only (at most 65,536 rows): the counterpart of a bulk dispatch.
-    """
-    if len(x) > 65_536:
-        raise ValueError("a block has 65,536 rows at most")
-    rng = np.random.default_rng(seed)
+def batch_steps(x: np.ndarray, y: np.ndarray, model: Linear, batch: int, rate: float, decay: float = 0.0) -> Linear:
+    """A step for each run of ``batch`` rows, in order: many steps in one call."""
     w, b = model.weights.copy(), model.bias.copy()
     losses = []
-    for _ in range(steps):
-        at = rng.integers(0, len(x), batch)
-        xb, yb = x[at], y[at]
+    for lo in range(0, len(x), batch):
+        xb, yb = x[lo : lo + batch], y[lo : lo + batch]
         z = xb @ w.T + b
         if model.task == "binary_classification":
             p = 1 / (1 + np.exp(-np.clip(z[:, 0], -30, 30)))
@@ -143,18 +137,79 @@ def train_block(x: np.ndarray, y: np.ndarray, model: Linear, steps: int, batch:
         elif model.task == "multiclass_classification":
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            losses.append(float(-np.log(p[np.arange(batch), yb.astype(int)] + 1e-8).mean()))
+            losses.append(float(-np.log(p[np.arange(len(yb)), yb.astype(int)] + 1e-8).mean()))
             e = p.copy()
-            e[np.arange(batch), yb.astype(int)] -= 1
+            e[np.arange(len(yb)), yb.astype(int)] -= 1
         else:
             r = z[:, 0] - (yb - model.target_mean) / model.target_std
             e = 2 * r[:, None]
             losses.append(float((r * r).mean()))
-        w = w - rate * (e.T @ xb / batch + decay * w)
+        w = w - rate * (e.T @ xb / len(xb) + decay * w)
         b = b - rate * e.mean(0)
     if not np.isfinite(losses).all():
         raise FloatingPointError("the loss is no longer finite")
-    return Linear(model.task, w, b, model.target_mean, model.target_std, model.step + steps, [*model.history, *losses])
+    return Linear(model.task, w, b, model.target_mean, model.target_std, model.step + len(losses), [*model.history, *losses])
+
+
+def draws(n: int, batch: int, steps: int, seed: int, first: int = 0) -> np.ndarray:
+    """Places (step, row) of the random mini-batches, drawn with replacement; a step's don't depend on the others'."""
+    return np.array([np.random.default_rng([seed, first + k]).integers(0, n, batch) for k in range(steps)]).reshape(steps, batch)
+
+
+class RandomBatches:
+    """Mini-batch steps on rows (features, label) by random places in their order.
+
+    Rows are ordered by a hash of their values, so their places depend on nothing else.
+    A table of at most ``held`` rows is held here; of a larger one each job fetches the
+    rows that the next steps draw, ``held`` at most. The steps are the same either way.
+    """
+
+    def __init__(self, rows: DataFrame, n: int, held: int, seed: int = 42):
+        self.n, self.held, self.seed = n, held, seed
+        keyed = rows.select("features", "label", F.xxhash64("features", "label").alias("__h"))
+        order = ["__h", "label", "features"]
+        if n <= held:
+            self.block, self.numbered = self._arrays(keyed.orderBy(*order).select("features", "label").toPandas()), None
+        else:
+            self.block, self.numbered = None, with_ordinal(keyed, order, "__place").drop("__h").persist()
+
+    @staticmethod
+    def _arrays(got) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(got["features"].tolist(), float), got["label"].to_numpy(float)
+
+    def close(self) -> None:
+        if self.numbered is not None:
+            self.numbered.unpersist()
+
+    def _drawn(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.block is not None:
+            return self.block[0][at], self.block[1][at]
+        wanted, back = np.unique(at, return_inverse=True)
+        places = F.broadcast(self.numbered.sparkSession.createDataFrame([(int(k),) for k in wanted], "__place long"))
+        got = self.numbered.join(places, "__place").toPandas().sort_values("__place")
+        x, y = self._arrays(got)
+        return x[back], y[back]
+
+    def train(self, model: Linear, steps: int, batch: int, rate: float, decay: float = 0.0) -> Linear:
+        """The model after ``steps`` more steps; its own step number is the cursor."""
+        batch = min(batch, self.n)
+        at_once = max(1, self.held // batch)
+        for lo in range(0, steps, at_once):
+            k = min(at_once, steps - lo)
+            x, y = self._drawn(draws(self.n, batch, k, self.seed, model.step).ravel())
+            model = batch_steps(x, y, model, batch, rate, decay)
+        return model
+
+
+def train_block(x: np.ndarray, y: np.ndarray, model: Linear, steps: int, batch: int, rate: float, decay: float = 0.0, seed: int = 42) -> Linear:
+    """Many random mini-batch steps in one call on a block of rows that fits in memory.
+
+    For bounded blocks only (at most 65,536 rows): the counterpart of a bulk dispatch.
+    """
+    if len(x) > 65_536:
+        raise ValueError("a block has 65,536 rows at most")
+    at = draws(len(x), batch, steps, seed)
+    return batch_steps(x[at.ravel()], y[at.ravel()], model, batch, rate, decay)
 
 
 def finite_rows(df: DataFrame, x: str = "features") -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.hashing import with_split
 from tabularium.operators import guard, metrics, planners, prepare, profile
-from tabularium.operators.train import RATES, Linear, train_block, train_step
+from tabularium.operators.train import RATES, Linear, RandomBatches
 from tabularium.plans.catalog_store import Store
 from tabularium.sources import files
 
-#: Training rows up to which a block is trained in one process instead of a job a step.
+#: Training rows that the driver holds at a time. Steps are the same whether all rows fit or not.
 BLOCK_ROWS = 65_536
 LEAST_EVAL = 8
 
@@ -184,10 +184,7 @@ class Engine:
         model = start or Linear.zeros(plan.task, width, max(1, len(enc.classes)), mean or 0.0, std or 1.0)
         if model.weights.shape[1] != width:
             raise ValueError("the model was made for other features")
-        block = None
-        if counts["train"] <= BLOCK_ROWS:
-            got = parts["train"].select("features", "label").toPandas()  # a bounded block
-            block = (np.array(got["features"].tolist(), float), got["label"].to_numpy(float))
+        drawn = RandomBatches(parts["train"], counts["train"], BLOCK_ROWS, c.seed)
         best, best_model, best_step, reason, history = None, model, 0, "max_steps", []
         if start is not None:
             best = self.evaluate(parts["validation"], model)[0]
@@ -195,11 +192,7 @@ class Engine:
         p, batch = plan.policy, plan.batch
         while step < c.max_steps:
             todo = min(plan.interval, c.max_steps - step)
-            if block is not None:
-                model = train_block(*block, model, todo, min(batch, len(block[1])), plan.learning_rate, c.weight_decay, c.seed + step)
-            else:
-                for _ in range(todo):
-                    model = train_step(parts["train"], model, plan.learning_rate, c.weight_decay)
+            model = drawn.train(model, todo, batch, plan.learning_rate, c.weight_decay)
             step += todo
             evals += 1
             score, _ = self.evaluate(parts["validation"], model)
@@ -207,6 +200,8 @@ class Engine:
                 reason = "quality_gate_invalid"
                 break
             history.append((step, score))
+            if c.batch is None:
+                batch = guard.next_batch([x for _, x in history], batch, plan.safe_min, plan.safe_max, counts["train"])
             streak = streak + 1 if best is not None and score < best - p.margin else 0
             if best is None or score > best + p.min_improvement:
                 best, best_model, best_step, plateau = score, model, step, 0
@@ -222,6 +217,7 @@ class Engine:
             if plateau > p.plateau_patience:
                 reason = "early_stopping"
                 break
+        drawn.close()
         test = self.evaluate(parts["test"], best_model)[1]
         result = Result(run, plan, best_model, enc, float(best if best is not None else float("nan")), best_step, reason, history, test)
         if self.store:

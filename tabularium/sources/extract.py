@@ -3,53 +3,66 @@
 from __future__ import annotations
 
 import codecs
+import io
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import extension, newline_norm
-from tabularium.sources.files import SAMPLE_BYTES, SourceError, encoding_of
+from tabularium.sources.files import SAMPLE_BYTES, SourceError, encoding_of, open_uri
 from tabularium.sources.formats import catalogue_table
 
 CHUNK_BYTES, MAX_CHARS, MAX_FILES = 256 << 10, 64 << 20, 100_000
 CHUNKS = "path string, format string, encoding string, index long, text string"
 
 
-def decode_chunks(raw: bytes, chunk_bytes: int, max_chars: int) -> Iterator[tuple[str, int, str]]:
-    """(encoding, index, text) of a file's content; line ends become line feeds."""
-    sample = raw[:SAMPLE_BYTES]
-    if b"\0" in sample and not sample.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+def _encoding(f: pa.NativeFile) -> str:
+    sample = f.read_at(min(SAMPLE_BYTES, f.size()), 0)
+    if not sample.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)) and 0 in sample:
         raise SourceError("the text holds NUL bytes")
-    name = encoding_of(sample, final=len(raw) <= SAMPLE_BYTES)
-    decoder = codecs.getincrementaldecoder(name)("strict")
-    sent = index = 0
-    for lo in range(0, len(raw) + 1, chunk_bytes):
-        part = raw[lo : lo + chunk_bytes]
-        text = decoder.decode(part, final=lo + chunk_bytes >= len(raw)).replace("\r\n", "\n").replace("\r", "\n")
-        text = text[: max_chars - sent]
-        if text:
-            yield name, index, text
-            sent += len(text)
-            index += 1
-        if sent >= max_chars:
-            return
+    return encoding_of(sample, final=f.size() <= SAMPLE_BYTES)
+
+
+def decode_chunks(source: bytes | pa.NativeFile, chunk_bytes: int, max_chars: int) -> Iterator[tuple[str, int, str]]:
+    """(encoding, index, text) of a file, read piece by piece; all kinds of line ends become line feeds.
+
+    A line end that a piece's border cuts goes to the next piece, so it stays one.
+    """
+    f = pa.BufferReader(source) if isinstance(source, bytes) else source
+    name = _encoding(f)
+    f.seek(0)
+    lines = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder(name)("strict"), translate=True)
+    pieces = iter(lambda: f.read(chunk_bytes), b"")
+    texts = (t for t in chain((lines.decode(p) for p in pieces), (lines.decode(b"", final=True) for _ in (0,))) if t)
+    for index, text in enumerate(texts):
+        if max_chars > 0:
+            yield name, index, text[:max_chars]
+        max_chars -= len(text)
+        if max_chars <= 0:
+            break
 
 
 def extract_files(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, max_chars: int = MAX_CHARS) -> DataFrame:
-    """(path, format, encoding, index, text) chunks of all text files of a path."""
+    """(path, format, encoding, index, text) chunks of all text files of a path.
+
+    A task opens its files and reads them piece by piece; no file is held as a whole.
+    """
     if not 1024 <= chunk_bytes <= 4 << 20 or not 1 <= max_chars <= 1 << 30:
         raise SourceError("chunks have 1 KiB to 4 MiB, a file 1 to 2^30 characters")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).withColumn("extension", extension(F.col("path")))
     known = catalogue_table(spark).where("level in ('extract', 'train') and modality in ('text', 'table')")
-    files = files.join(F.broadcast(known), "extension").select("path", F.substring("extension", 2, 32).alias("format"), "content")
+    files = files.join(F.broadcast(known), "extension").select("path", F.substring("extension", 2, 32).alias("format"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, f, raw in zip(b["path"], b["format"], b["content"], strict=True):
-                for enc, k, t in decode_chunks(bytes(raw), chunk_bytes, max_chars):
-                    yield pd.DataFrame({"path": [p], "format": [f], "encoding": [enc], "index": [k], "text": [t]})
+            for p, kind in zip(b["path"], b["format"], strict=True):
+                with open_uri(p) as f:
+                    for enc, k, t in decode_chunks(f, chunk_bytes, max_chars):
+                        yield pd.DataFrame({"path": [p], "format": [kind], "encoding": [enc], "index": [k], "text": [t]})
 
     return files.mapInPandas(run, CHUNKS)
 

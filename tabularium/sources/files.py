@@ -18,7 +18,7 @@ from tabularium.functions.numbers import text
 from tabularium.functions.text import extension
 from tabularium.sources.formats import TRAINABLE, catalogue_table, sniff
 
-SAMPLE_BYTES, MAX_FILES, MAX_LINE = 64 << 10, 100_000, 2 << 20
+SAMPLE_BYTES, MAX_FILES, MAX_LINE, MAX_COLUMNS = 64 << 10, 100_000, 2 << 20, 100_000
 DELIMITERS = ",;\t|"
 #: Limits of NPZ archives: entries, unpacked bytes, packing ratio. Fixed values.
 NPZ_ENTRIES, NPZ_BYTES, NPZ_RATIO = 16, 2 << 30, 200
@@ -56,11 +56,47 @@ def delimiter_of(sample: str, suffix: str = ".csv") -> str:
 
 
 def _head(spark: SparkSession, path: str) -> tuple[bytes, int]:
-    """A file's first bytes and its size, read by Spark: paths need not be local."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SAMPLE_BYTES), "length").first()
-    if row is None:
+    """A file's first bytes and its size; of a folder those of its first file by name. Paths need not be local."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
         raise SourceError(f"{path} isn't a file")
-    return bytes(row[0]), row[1]
+    while (status := fs.getFileStatus(where)).isDirectory():
+        inside = sorted((x.getPath() for x in fs.listStatus(where)), key=lambda p: p.getName())
+        inside = [p for p in inside if p.getName()[0] not in "._"]
+        if not inside:
+            raise SourceError(f"{path} holds no file")
+        where = inside[0]
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readNBytes(SAMPLE_BYTES)), status.getLen()
+    finally:
+        stream.close()
+
+
+def open_uri(uri: str):
+    """A file of Spark's ``path`` column, opened for reading by ranges (file, hdfs, s3 and gs)."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def _with_ends(files: DataFrame, first: int, last: int) -> DataFrame:
+    """(path, length, head, tail): the first and last bytes of files (path, length), read by ranges."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            heads, tails = [], []
+            for uri in b["path"]:
+                with open_uri(uri) as f:
+                    heads.append(f.read_at(min(first, f.size()), 0))
+                    tails.append(f.read_at(min(last, f.size()), max(0, f.size() - last)))
+            yield b.assign(head=heads, tail=tails)
+
+    return files.select("path", "length").mapInPandas(run, "path string, length long, head binary, tail binary")
 
 
 @dataclass(frozen=True)
@@ -79,57 +115,66 @@ def _trimmed(df: DataFrame) -> DataFrame:
     return df.select(*(text(F.col(f"`{c}`")).alias(c.strip()) for c in df.columns if c.strip()))
 
 
+#: What the upper half of a byte table is in ISO-8859-1 and, where it has a character, in cp1251.
+_UPPER = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp1251")) for b in range(128, 256) if b != 0x98]
+
+
 def read_delimited(spark: SparkSession, path: str, found: Detected | None = None) -> DataFrame:
-    """A file with a header line; quotes are doubled inside quotes, blank lines are skipped."""
+    """A file with a header line, of any size; quotes are doubled inside quotes, blank lines are skipped."""
     found = found or detect_text(spark, path)
-    options = {"sep": found.delimiter, "quote": '"', "escape": '"'}
+    reader = spark.read.options(header=True, inferSchema=False, sep=found.delimiter, quote='"', escape='"')
     if found.encoding in ("utf-8", "utf-8-sig"):
-        return _trimmed(spark.read.options(header=True, inferSchema=False, **options).csv(path))
-
-    # Spark has no decoder for the rest: decode whole files in Python, parse lines in Spark.
-    @F.pandas_udf("string")
-    def decoded(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: b.decode(found.encoding))
-
-    lines = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(decoded("content"), "\r\n?|\n")).alias("at", "line"))
-    header = lines.where("at = 0").first()["line"]
-    columns = next(iter(pd.read_csv(io.StringIO(header), sep=found.delimiter, dtype=str).columns.to_list() for _ in (0,)))
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    parsed = lines.where((F.col("at") > 0) & (F.trim("line") != "")).select(F.from_csv("line", schema, options).alias("r"))
-    return _trimmed(parsed.select("r.*"))
+        return _trimmed(reader.csv(path))
+    if found.encoding == "utf-16":
+        # Its line feeds aren't single bytes, so a file is one stream there.
+        return _trimmed(reader.options(encoding="UTF-16", multiLine=True).csv(path))
+    df = reader.option("encoding", "ISO-8859-1").csv(path)
+    if found.encoding == "cp1251":  # byte by byte the same file; Spark has no decoder for it
+        latin, cyrillic = ("".join(x) for x in zip(*_UPPER, strict=True))
+        renamed = str.maketrans(latin, cyrillic)
+        df = df.select(*(F.translate(F.col(f"`{c}`"), latin, cyrillic).alias(c.translate(renamed)) for c in df.columns))
+    return _trimmed(df)
 
 
 def read_jsonl(spark: SparkSession, path: str, flat: bool = False) -> DataFrame:
     """One object a line, blank lines skipped; every value as text, zeros stay zeros.
 
+    The columns are the first line's keys, then those that only later lines have, by name.
     ``flat`` refuses lines above 2 MiB, nested values and keys that the first line lacks.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
     first = lines.select(F.json_object_keys("value")).first()
     if first is None or first[0] is None:
         raise SourceError(f"{path} holds no objects")
-    columns = list(first[0])
+    columns = list(dict.fromkeys(first[0]))
+    keys = F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, columns)).cast("array<string>"))
     if flat:
-        wrong = lines.select(
-            F.max(F.octet_length("value")).alias("longest"),
-            F.count_if(F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, columns)))) > 0).alias("unknown"),
-        ).first()
+        wrong = lines.select(F.max(F.octet_length("value")).alias("longest"), F.count_if(F.size(keys) > 0).alias("unknown")).first()
         if wrong.longest > MAX_LINE:
             raise SourceError("a line is longer than 2 MiB")
         if wrong.unknown:
             raise SourceError(f"{wrong.unknown} lines have fields that the first line lacks")
-    schema = ", ".join(f"`{c}` string" for c in columns) + ", `__bad` string"
-    rows = spark.read.schema(schema).options(columnNameOfCorruptRecord="__bad", mode="PERMISSIVE").json(path)
-    checks = [F.count("__bad").alias("bad")]
+    else:
+        later = lines.select(F.explode(keys).alias("k")).distinct().limit(MAX_COLUMNS + 1).collect()
+        if len(later) > MAX_COLUMNS:
+            raise SourceError(f"the lines have more than {MAX_COLUMNS} fields")
+        columns += sorted(r.k for r in later)
+    if not columns:
+        raise SourceError(f"{path} holds no fields")
+    bad = "__bad"
+    while bad in columns:
+        bad += "_"
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in (*columns, bad))
+    rows = spark.read.schema(schema).options(columnNameOfCorruptRecord=bad, mode="PERMISSIVE").json(path)
     nested = F.lit(False)
     for c in columns:
         nested = nested | F.coalesce(F.col(f"`{c}`").rlike(r"^\s*[\[{].*[\]}]\s*$"), F.lit(False))
-    bad, deep = rows.persist().select(*checks, F.count_if(nested)).first()
-    if bad:
-        raise SourceError(f"{bad} lines aren't objects")
+    wrong, deep = rows.select(F.count(bad), F.count_if(nested)).first()
+    if wrong:
+        raise SourceError(f"{wrong} lines aren't objects")
     if flat and deep:
         raise SourceError(f"{deep} lines have nested values")
-    return _trimmed(rows.drop("__bad"))
+    return _trimmed(rows.drop(bad))
 
 
 def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -326,14 +371,14 @@ def inspect_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def inspect_file(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, extension, sniffed) of files; only their first bytes are looked at."""
-    files = spark.read.format("binaryFile").load(path)
+    files = _with_ends(spark.read.format("binaryFile").load(path), 64, 0)
     ext = extension(F.col("path"))
-    return files.select("path", "length", ext.alias("extension"), sniff(F.col("content"), ext).alias("sniffed"))
+    return files.select("path", "length", ext.alias("extension"), sniff(F.col("head"), ext).alias("sniffed"))
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
     """One digest of files' names, sizes and first and last MiB, in path order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    ends = F.sha2(F.concat(F.substring("content", 1, 1 << 20), F.substring(F.col("content"), -(1 << 20), 1 << 20)), 256)
+    files = _with_ends(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), 1 << 20, 1 << 20)
+    ends = F.sha2(F.concat("head", "tail"), 256)
     lines = files.select(F.concat_ws("|", "path", F.col("length").cast("string"), ends).alias("x"))
     return lines.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("x"))), 256)).first()[0]

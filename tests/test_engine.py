@@ -117,9 +117,26 @@ def test_plan_many_and_fit_many(spark, csvs):
     assert len(e.fit_many([str(csvs / "binary.csv"), str(csvs / "multi.jsonl")])) == 2
 
 
-def test_distributed_steps_when_rows_are_many(spark, csvs, monkeypatch):
+def test_steps_are_the_same_however_many_rows_the_driver_holds(spark, csvs, monkeypatch):
     from tabularium.plans import engine
 
-    monkeypatch.setattr(engine, "BLOCK_ROWS", 10)
-    r = Engine(spark).fit(str(csvs / "binary.csv"), max_steps=6, learning_rate=0.5)
-    assert r.model.step >= 6 or r.reason != "max_steps"
+    fits = []
+    for held in (65_536, 100):
+        monkeypatch.setattr(engine, "BLOCK_ROWS", held)
+        fits.append(Engine(spark).fit(str(csvs / "binary.csv"), max_steps=24, learning_rate=0.5))
+    a, b = fits
+    assert a.model.step == b.model.step > 0 and a.plan.batch < 400
+    assert a.model.weights == pytest.approx(b.model.weights) and np.array(a.history) == pytest.approx(np.array(b.history))
+
+
+def test_next_batch_follows_the_fold(spark):
+    from tabularium.operators import guard
+
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        scores = rng.uniform(0.4, 0.6, 8).round(2).tolist()
+        batch = 64
+        for k in range(len(scores)):
+            batch = guard.next_batch(scores[: k + 1], batch, 16, 256, 4000)
+        table = spark.createDataFrame([("r", k, x) for k, x in enumerate(scores)], "run string, step long, score double")
+        assert guard.adapt_batch(table, "run", "step", "score", 64, 16, 256, 4000).first().batch == batch

@@ -126,3 +126,27 @@ def test_python_text_of_json(spark, tmp_path):
     p = tmp_path / "a.ndjson"
     p.write_text("\n".join(json.dumps({"a": k, "b": str(k)}) for k in range(5)))
     assert files.read(spark, str(p)).agg(F.sum(F.col("a").cast("int"))).first()[0] == 10
+
+
+def test_jsonl_keys_of_later_lines(spark, tmp_path):
+    p = tmp_path / "late.jsonl"
+    p.write_text('{"a":1}\n\n{"a":2,"c":"x","b":"late"}\n')
+    df = files.read_jsonl(spark, str(p))
+    assert df.columns == ["a", "b", "c"]
+    assert sorted(tuple(r) for r in df.collect()) in ([("1", None, None), ("2", "late", "x")], [("1", "", ""), ("2", "late", "x")])
+
+
+def test_other_encodings(spark, tmp_path):
+    text = "имя;цвет\nАнна;красный\nИван;синий\n"
+    for name, encoding in (("a.csv", "cp1251"), ("b.csv", "utf-16"), ("c.csv", "utf-8-sig")):
+        (tmp_path / name).write_bytes(text.encode(encoding))
+        df = files.read_delimited(spark, str(tmp_path / name))
+        assert df.columns == ["имя", "цвет"]
+        assert sorted(tuple(r) for r in df.collect()) == [("Анна", "красный"), ("Иван", "синий")]
+
+
+def test_line_ends_at_a_border_and_long_files(tmp_path):
+    raw = (b"x" * 1023 + b"\r\n") * 3 + b"end\r"
+    got = [t for _, _, t in extract.decode_chunks(raw, 1024, 10_000)]
+    assert "".join(got) == ("x" * 1023 + "\n") * 3 + "end\n"
+    assert [t for _, _, t in extract.decode_chunks(b"", 1024, 10)] == []
