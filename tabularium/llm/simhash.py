@@ -50,7 +50,7 @@ FRONT, HELD = 200_000, 1_000_000
 #: Near copies: words of a shingle, least similarity, fingerprints and their budget.
 WIDTH, SIMILARITY, SKETCHES, SKETCH_BUDGET = 5, 0.8, 6, 3
 #: Bytes of shingle sets and files that a task holds.
-SETS_HELD, FILES_HELD = 64 << 20, 64
+SETS_HELD, FILES_HELD = 16 << 20, 64
 #: The bit map of places has this power of two of bits (4 MB).
 SLOTS = 25
 
@@ -504,7 +504,8 @@ def _similar(texts: DataFrame, places: DataFrame, src: DataFrame, width: int, t:
     met = stars.select("family", F.explode(F.array("u", "v")).alias("fp")).unionByName(counted.where("k > 1").select("family", "fp"))
     keys = materialize(rows.join(materialize(met.distinct()), ["family", "fp"], "left_semi").select("key").distinct())
     uri = shared_dir(src.sparkSession)
-    sets = write_sets(_read(src, materialize(places.join(keys, "key"))), uri, width)
+    # Written first: with both steps in one stage a task would hold two Python workers.
+    sets = write_sets(materialize(_read(src, materialize(places.join(keys, "key")))), uri, width)
     heads = materialize(sets.groupBy("digest").agg(F.min("key").alias("head")))
     equal = sets.join(heads, "digest").where(F.col("key") != F.col("head")).select(F.col("key").alias("u"), F.col("head").alias("v"))
     carry = ("id", "segment", "offset", "size")
