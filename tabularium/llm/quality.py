@@ -190,7 +190,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     """The rows of ``docs`` that no rule rejects, with the columns they had.
 
     All rules take part in the cascade, so a row pays for the costly ones only if
-    the cheap and selective ones let it pass.
+    the cheap and selective ones let it pass. A null or empty text has no words and is
+    rejected. Null ids and repeated rows are judged like any other; an empty table gives
+    no rows.
     """
     order = [x.rule for x in estimate(docs, rules, text_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -320,12 +320,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Trains on the labelled rows and scores all of ``docs``."""
+    """Trains on the labelled rows and scores all of ``docs``; edge cases as in ``score``."""
     return score(docs, train(docs, labels, id_col, text_col), id_col, text_col, threshold)
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with the columns they had."""
+    """The rows of ``docs`` that aren't predicted toxic, with the columns they had, whatever their names.
+
+    A null text is scored as an empty one. Rows with null ids and repeated rows are judged
+    like any other; an empty table gives no rows.
+    """
     model = train(docs, labels, id_col, text_col)
     place = docs.columns.index(text_col)
 
