@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabularium.llm.common import file_system, located, shared_dir, trimmed, utf8
+from tabularium.llm.common import file_system, located, shared_dir, small_batches, trimmed, utf8
 
 BLOCK_ROWS = 4096
 #: Words that a task holds before it hands a part of a block's list on, and encoded
@@ -113,6 +113,7 @@ def _encoder(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def word_table(blocks: DataFrame, tokenizer: str) -> str:
     """Writes (block, words, ids) by block for rows (block, text); the folder's URI."""
     spark = blocks.sparkSession
+    small_batches(spark)
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS), MOST_BUCKETS)
     listed = blocks.select("block", "text").mapInArrow(trimmed(_lister(buckets)), "bucket int, block long, words binary")
     coded = listed.repartition(buckets, "bucket").mapInArrow(trimmed(_encoder(tokenizer)), "block long, words binary, ids binary")

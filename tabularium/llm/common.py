@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 _own_root: list[str] = []
 #: A byte table that lower-cases A-Z and leaves every other byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Rows of a batch between the JVM and Python at most.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tabularium/{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` rows; a lower setting stays.
+
+    Spark counts a batch's rows, not its bytes: at its default of 10,000 an executor holds
+    whole partitions of texts outside the heap, and again while their buffers grow.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes a frame to the shared folder and reads it again: its lineage ends there."""
+    small_batches(df.sparkSession)
     path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -286,19 +286,23 @@ def links(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = stars() if stars else None
-        rest = None
+        held: list[list[np.ndarray]] = []
+        rows, wanted = 0, chunk_rows
         for b in batches:
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5 + len(carry))]
-            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-            if len(rest[0]) < chunk_rows:
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(5 + len(carry))])
+            rows += b.num_rows
+            if rows < wanted:
                 continue
+            rest = [np.concatenate(x) for x in zip(*held, strict=True)]
             same = np.logical_and.reduce([x == x[-1] for x in rest[:4]])
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
                 yield from solve([x[:cut] for x in rest], edges)
-                rest = [x[cut:] for x in rest]
-        if rest is not None and len(rest[0]):
-            yield from solve(rest, edges)
+            held = [[x[cut:] for x in rest]]
+            rows -= cut
+            wanted = max(chunk_rows, 2 * rows)
+        if rows:
+            yield from solve([np.concatenate(x) for x in zip(*held, strict=True)], edges)
 
     return cells.mapInArrow(trimmed(run, 0), "family int, u long, v long")
 
