@@ -96,6 +96,6 @@ def latency_summary(df: DataFrame, ms: str = "ms") -> DataFrame:
     )
 
 
-def share_of_weights(weight: Column, least: int = 5) -> Column:
-    """round(100 w / sum w), halves to even, ``least`` at least: a window expression."""
-    return F.greatest(F.lit(least), F.bround(100 * weight / F.sum(weight).over(Window.partitionBy())).cast("int"))
+def share_of_weights(weight: Column, host: str, least: int = 5) -> Column:
+    """round(100 w / sum w) among the runs of one host, halves to even, ``least`` at least."""
+    return F.greatest(F.lit(least), F.bround(100 * weight / F.sum(weight).over(Window.partitionBy(host))).cast("int"))

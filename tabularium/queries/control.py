@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabularium.operators import catalog, guard, planners
 from tabularium.operators.metrics import share_of_weights
+from tabularium.operators.order import with_ordinal
 from tabularium.queries import load, query
 
 EVALS = "SELECT user_id AS run, event_id AS step, least(1, greatest(0, value / 100))::DOUBLE AS score FROM events"
@@ -74,14 +75,14 @@ def rate_limit(spark, sf):
     return guard.rate_limit(t, "bucket", "s", 3, 36000).groupBy("bucket").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("rejected"))
 
 
-QUEUE = "SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS priority, s_suppkey AS created_at, (s_nationkey % 7 + 5)::BIGINT AS cpu, (s_nationkey % 5 + 4)::BIGINT AS ram, (s_nationkey % 3)::BIGINT AS gpu FROM supplier WHERE s_suppkey <= 60"
+QUEUE = "SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS priority, s_suppkey AS created_at, (s_nationkey % 7 + 5)::BIGINT AS cpu, (s_nationkey % 5 + 4)::BIGINT AS ram, (s_nationkey % 3)::BIGINT AS gpu, s_nationkey AS host, s_acctbal AS credit FROM supplier"
 
 
 def requests(spark, sf):
     k = F.col("s_suppkey")
-    t = load(spark, sf, "supplier").where(k <= 60)
+    t = load(spark, sf, "supplier")
     n = F.col("s_nationkey")
-    return t.select(k.alias("id"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "normal").otherwise("low").alias("priority"), k.alias("created_at"), (n % 7 + 5).cast("long").alias("cpu"), (n % 5 + 4).cast("long").alias("ram"), (n % 3).cast("long").alias("gpu"))
+    return t.select(k.alias("id"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "normal").otherwise("low").alias("priority"), k.alias("created_at"), (n % 7 + 5).cast("long").alias("cpu"), (n % 5 + 4).cast("long").alias("ram"), (n % 3).cast("long").alias("gpu"), n.alias("host"), F.col("s_acctbal").alias("credit"))
 
 
 @query(f"""WITH RECURSIVE q AS ({QUEUE}), o AS (SELECT *, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, created_at) AS k FROM q),
@@ -92,23 +93,22 @@ def admission(spark, sf):
     return guard.admission(requests(spark, sf)).select("id", "admitted")
 
 
-@query(f"SELECT id, greatest(5, round_even(100 * w / sum(w) OVER (), 0)::INTEGER) AS gpu FROM (SELECT id, CASE priority WHEN 'high' THEN 1.5::DOUBLE WHEN 'low' THEN 0.65 ELSE 1 END AS w FROM ({QUEUE}) WHERE id <= 9)")
+# Weights are whole hundredths, so that their sums are exact in any order.
+@query(f"SELECT id, greatest(5, round_even(100 * w / sum(w) OVER (PARTITION BY host), 0)::INTEGER) AS gpu FROM (SELECT id, host, CASE priority WHEN 'high' THEN 150::DOUBLE WHEN 'low' THEN 65 ELSE 100 END AS w FROM ({QUEUE}))")
 def weighted_share(spark, sf):
-    w = F.when(F.col("priority") == "high", 1.5).when(F.col("priority") == "low", 0.65).otherwise(1.0)
-    return requests(spark, sf).where("id <= 9").select("id", share_of_weights(w).alias("gpu"))
+    w = F.when(F.col("priority") == "high", 150.0).when(F.col("priority") == "low", 65.0).otherwise(100.0)
+    return requests(spark, sf).select("id", share_of_weights(w, "host").alias("gpu"))
 
 
-@query(f"SELECT id, priority, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, created_at)::BIGINT AS place FROM ({QUEUE}) QUALIFY place <= 10")
+@query(f"SELECT id, priority, row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, created_at)::BIGINT AS place FROM ({QUEUE})")
 def priority_order(spark, sf):
-    from pyspark.sql import Window
+    t = requests(spark, sf).withColumn("turn", catalog.queue_order(F.col("priority")))
+    return with_ordinal(t, ["turn", "created_at"], "place").select("id", "priority", (F.col("place") + 1).alias("place"))
 
-    t = requests(spark, sf).orderBy(catalog.queue_order(F.col("priority")), "created_at").limit(10)
-    return t.select("id", "priority", F.row_number().over(Window.orderBy(catalog.queue_order(F.col("priority")), "created_at")).cast("long").alias("place"))
 
-
-@query(f"SELECT sum(cpu)::BIGINT AS cpu, sum(ram)::BIGINT AS ram, sum(gpu)::BIGINT AS gpu FROM ({QUEUE}) WHERE id % 4 = 0")
+@query(f"SELECT sum(cpu)::BIGINT AS cpu, sum(ram)::BIGINT AS ram, sum(gpu)::BIGINT AS gpu FROM ({QUEUE}) WHERE credit > 0")
 def resource_usage(spark, sf):
-    return catalog.usage(requests(spark, sf), F.col("id") % 4 == 0)
+    return catalog.usage(requests(spark, sf), F.col("credit") > 0)
 
 
 STATES = ["draft", "queued", "training", "pausing", "paused", "stopping", "stopped", "completed", "error_recoverable", "error"]

@@ -35,10 +35,10 @@ def text_budget(spark, sf):
     return extract.within_budget(load(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", 100_000)
 
 
-@query("""SELECT item_id, regexp_replace(replace(text, ' ', chr(13) || chr(10)), '\r\n?', chr(10), 'g') AS text, regexp_replace(substring(text, 1, 30), '[^A-Za-z0-9_.-]', '_', 'g') AS name FROM benchmark""")
+@query("""SELECT item_id, regexp_replace(replace(text, ' ', chr(13) || chr(10)), '\r\n?', chr(10), 'g') AS text, regexp_replace(text, '[^A-Za-z0-9_.-]', '_', 'g') AS name FROM benchmark""")
 def newline_norm(spark, sf):
     t = load(spark, sf, "benchmark")
-    return t.select("item_id", X.newline_norm(F.replace("text", F.lit(" "), F.lit("\r\n"))).alias("text"), X.safe_name(F.substring("text", 1, 30)).alias("name"))
+    return t.select("item_id", X.newline_norm(F.replace("text", F.lit(" "), F.lit("\r\n"))).alias("text"), X.safe_name(F.col("text")).alias("name"))
 
 
 @query("SELECT doc_id, 'ds_' || substring(sha256(text), 1, 12) || '_' || substring(sha256(lang), 1, 4) AS dataset_id FROM documents")
@@ -75,6 +75,8 @@ def event_stream_tail(spark, sf):
     return tail.replay(spark, f"{sf}/events.parquet", last=100)
 
 
-@query("SELECT user_id, count(*) AS evals, round(max(value), 9) AS best FROM events GROUP BY 1")
+@query("""WITH e AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM events),
+    k AS (SELECT *, max(event_id) FILTER (WHERE prior IS NULL OR value >= prior - 0.03::DOUBLE) OVER (PARTITION BY user_id) AS held FROM e)
+    SELECT user_id, count(*) AS evals, round(max(value), 9) AS best, count(*) FILTER (WHERE event_id > held) AS streak FROM k GROUP BY 1""")
 def event_stream_guard(spark, sf):
     return tail.replay_guard(spark, f"{sf}/events.parquet")

@@ -59,17 +59,36 @@ def guard_states(events: DataFrame, margin: float = 0.03) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, GUARD, "evals long, best double, streak long", "update", GroupStateTimeout.NoTimeout)
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tabularium-")
+def _folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; only a local session without it gets one of its own."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tabularium-")
     return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
-    spark = stream.sparkSession
-    name = f"tail_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).start()
+    """Runs a stream over what there is and gives its output, written as Parquet by batch.
+
+    A batch that is run again after a failure replaces its own folder. "complete" gives
+    the last batch, "update" all of them.
+    """
+    spark, schema, root = stream.sparkSession, stream.schema, _folder(stream.sparkSession)
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{number}")
+        done.append(number)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], schema)
+    batches = [max(done)] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(schema).parquet(*(f"{root}/out/{k}" for k in batches))
 
 
 def replay(spark: SparkSession, path: str, last: int = 0) -> DataFrame:
@@ -80,4 +99,5 @@ def replay(spark: SparkSession, path: str, last: int = 0) -> DataFrame:
 def replay_guard(spark: SparkSession, path: str) -> DataFrame:
     """``guard_states`` over a finite log: the last state of each user."""
     states = _run(guard_states(log_stream(spark, path)), "update")
-    return states.groupBy("user_id").agg(F.max("evals").alias("evals"), F.round(F.max_by("best", "evals"), 9).alias("best"))
+    last = lambda c: F.max_by(c, "evals")
+    return states.groupBy("user_id").agg(F.max("evals").alias("evals"), F.round(last("best"), 9).alias("best"), last("streak").alias("streak"))
