@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabularium.llm.common import trimmed, utf8
+from tabularium.llm.common import shared_dir, trimmed, utf8
 
 #: Blocks in a row of the image; one restart interval is one row.
 WIDTH = 192
@@ -444,14 +444,23 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uri: str | None = None) -> DataFrame:
+    """``to_media`` written as Parquet to ``uri`` (else a new shared folder); the stored rows (id, media)."""
+    spark = docs.sparkSession
+    uri = uri or shared_dir(spark)
+    media = to_media(docs, id_col, text_col)
+    media.write.option("compression", "zstd").parquet(uri)
+    return spark.read.schema(media.schema).parquet(uri)
+
+
 def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Dimensions, payload and hashes of rows (id, media), all from the stored bytes.
 
     Columns: id, width, height, n_bytes (from the comment; null without one), payload
-    digests, media_bytes, media_sha256 and feature (dimensions and thumbnail hash).
-    A null media gives nulls; one that isn't a baseline JPEG fails the query.
+    digests, media_bytes, media_sha256, feature (dimensions and thumbnail hash) and error.
+    A null media gives nulls; one that isn't a baseline JPEG gives nulls and an error.
     """
-    fields = ["width int", "height int", "n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]
+    fields = ["width int", "height int", "n_bytes long", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string", "error string"]
     names = [f.split()[0] for f in fields]
     kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[f.split()[1]] for f in fields]
 
@@ -461,16 +470,27 @@ def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
         n = int(note[8:]) if note.startswith(b"n_bytes=") else None
         return (
             width, height, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
-            len(m), hashlib.sha256(m).hexdigest(), f"{width}x{height}:{thumbnail_hash(luma)}",
+            len(m), hashlib.sha256(m).hexdigest(), f"{width}x{height}:{thumbnail_hash(luma)}", None,
         )
 
+    def rows_of(raw: list[bytes | None]) -> list[tuple]:
+        """Rows of a slice; one that can't be decoded as a whole is halved down to the faulty media."""
+        given = [m for m in raw if m is not None]
+        try:
+            seen = iter(thumbnails(given))
+        except (ValueError, IndexError, KeyError, struct.error) as e:
+            if len(raw) > 1:
+                half = len(raw) // 2
+                return rows_of(raw[:half]) + rows_of(raw[half:])
+            return [(None,) * (len(names) - 1) + (f"{type(e).__name__}: {e}",)]
+        return [row(m, next(seen)) if m is not None else (None,) * len(names) for m in raw]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
                 raw = b.column(1).to_pylist()
-                seen = iter(thumbnails([m for m in raw if m is not None]))
-                rows = [row(m, next(seen)) if m is not None else (None,) * len(names) for m in raw]
+                rows = rows_of(raw)
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[id_col, *names])
 

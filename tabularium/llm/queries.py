@@ -36,7 +36,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jpeg_media.read_media(jpeg_media.to_media(table(spark, sf_dir, "documents")))
+    stored = jpeg_media.store_media(table(spark, sf_dir, "documents"))
+    out = jpeg_media.read_media(stored)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

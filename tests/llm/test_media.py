@@ -105,3 +105,15 @@ def test_hash_and_faults():
     for bad in (b"", media[:-2], b"\x89PNG" + media, media.replace(b"\xff\xc0", b"\xff\xc2")):
         with pytest.raises((ValueError, IndexError)):
             J.thumbnails([bad])[0]
+
+
+def test_stored_media_and_faulty_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "some text"), (2, None), (3, "x" * 1000)], "doc_id long, text string")
+    stored = J.store_media(df, uri=f"file://{tmp_path}/media")
+    good = {r.doc_id: r for r in J.read_media(stored).collect()}
+    assert {k: r.n_bytes for k, r in good.items()} == {1: 9, 2: 0, 3: 1000} and all(r.error is None for r in good.values())
+    rows = [(r.doc_id, bytes(r.media)) for r in stored.collect()] + [(4, b""), (5, b"no image"), (6, None)]
+    mixed = {r.doc_id: r for r in J.read_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert all(mixed[k] == good[k] for k in good)
+    assert all(mixed[k].error and mixed[k].payload_sha256 is None for k in (4, 5))
+    assert mixed[6].error is None and mixed[6].media_bytes is None
