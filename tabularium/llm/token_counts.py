@@ -6,6 +6,10 @@ version (its file and settings), so another tokenizer never meets old counts. A
 joins the two digests to the cache, encodes each distinct content that is missing
 once, appends those counts, and reads all counts from the cache by a second join.
 
+Where the cache already has counts, digests meet it before any text moves: texts with a
+stored count stay where they are, if the missing digests are few enough to broadcast
+(``BROADCAST_DIGESTS``, counted first); else texts are shuffled and joined there.
+
 Texts are moved once: repeated contents are dropped in each scan task before the
 shuffle by digest, so a group of copies sends one text per task at most. The last join
 moves digests only, and Spark splits its skewed partitions.
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 
 from tabularium.llm.common import materialize, shared_dir, trimmed, utf8
 
+#: Missing digests that are broadcast at most: some 100 MB in an executor.
+BROADCAST_DIGESTS = 500_000
 CACHE = "content_digest binary, n_tokens long, tokenizer_digest string"
 
 
@@ -60,6 +66,10 @@ def normalised(text_col: str = "text"):
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def digest_of(text_col: str = "text"):
+    return F.unhex(F.sha2(normalised(text_col).cast("binary"), 256))
+
+
 def _read(spark: SparkSession, cache: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
@@ -84,13 +94,18 @@ def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield b.take(pa.array(keep))
 
 
-def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text_col: str = "text") -> None:
+def fill_cache(docs: DataFrame, cache: str, tokenizer: str, text_col: str = "text", broadcast_digests: int = BROADCAST_DIGESTS) -> None:
     """Encodes the distinct contents of ``docs`` that the cache lacks and appends their counts."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
     known = _read(spark, cache).where(F.col("tokenizer_digest") == version).select("content_digest")
-    texts = docs.select(F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)).alias("content_digest"), normalised(text_col).alias("text"))
-    once = texts.mapInArrow(trimmed(_first_of_task), "content_digest binary, text string").repartition("content_digest")
-    missing = once.join(known, "content_digest", "left_anti")
+    texts = docs.select(digest_of(text_col).alias("content_digest"), normalised(text_col).alias("text"))
+    few = None
+    if not known.isEmpty():
+        lacking = materialize(texts.select("content_digest").distinct().join(known, "content_digest", "left_anti"))
+        if lacking.count() <= broadcast_digests:
+            few = texts.join(F.broadcast(lacking), "content_digest", "left_semi")
+    once = (texts if few is None else few).mapInArrow(trimmed(_first_of_task), "content_digest binary, text string").repartition("content_digest")
+    missing = once.join(known, "content_digest", "left_anti") if few is None else once
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
@@ -113,19 +128,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     keep their rows; other columns are ignored; an empty table gives no rows. A count
     that was appended twice (two runs at a time, a repeated append) is used once.
     """
-    cache = cache or shared_dir(docs.sparkSession)
-    fill_cache(docs, cache, tokenizer, text_col)
-    version = tokenizer_digest(tokenizer)
+    uri = cache or shared_dir(docs.sparkSession)
+    fill_cache(docs, uri, tokenizer, text_col)
+    stored = _read(docs.sparkSession, uri).where(F.col("tokenizer_digest") == tokenizer_digest(tokenizer))
+    if cache:  # of a kept cache only what this run asks for
+        stored = stored.join(docs.select(digest_of(text_col).alias("content_digest")).distinct(), "content_digest", "left_semi")
     # Written before the join: Spark splits a skewed join only between plain shuffles.
-    counts = materialize(
-        _read(docs.sparkSession, cache)
-        .where(F.col("tokenizer_digest") == version)
-        .groupBy("content_digest")
-        .agg(F.max("n_tokens").alias("n_tokens"))
-    )
-    keys = docs.select(
-        F.col(id_col),
-        F.octet_length(normalised(text_col)).cast("long").alias("n_bytes"),
-        F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)).alias("content_digest"),
-    )
+    counts = materialize(stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")))
+    keys = docs.select(F.col(id_col), F.octet_length(normalised(text_col)).cast("long").alias("n_bytes"), digest_of(text_col).alias("content_digest"))
     return keys.join(counts, "content_digest", "left").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

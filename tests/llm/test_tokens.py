@@ -45,6 +45,17 @@ def test_only_distinct_misses_are_encoded(spark, docs):
     assert got == dict(zip([r.doc_id for r in src], piece_counts(r.text for r in src), strict=True))
 
 
+def test_few_and_many_misses_agree(spark, docs):
+    half = docs.where("doc_id % 2 = 0")
+    stored = []
+    for bound in (0, 10**6):
+        cache = shared_dir(spark)
+        token_counts.fill_cache(half, cache, PIECE)
+        token_counts.fill_cache(docs, cache, PIECE, broadcast_digests=bound)
+        stored.append(sorted((bytes(r.content_digest), r.n_tokens) for r in spark.read.parquet(cache).collect()))
+    assert stored[0] == stored[1] and len(stored[0]) == docs.select("text").distinct().count()
+
+
 def test_planted_cache_is_used(spark):
     df = spark.createDataFrame([(1, "planted")], "doc_id long, text string")
     cache = shared_dir(spark)
