@@ -8,10 +8,14 @@ splitting never crosses, and encodes each distinct word once:
    Words are dealt to buckets by a hash; a block's words in a bucket are one packed row.
 2. These rows are shuffled by bucket. The library encodes a bucket's distinct words
    once; every block that has them gets their ids.
-3. The packed words, now with ids, are written by block: its part of the word table.
+3. The packed words, now with ids, are written in shards, sorted by block. A block's
+   part of the word table is found by its shard's folder and the row groups' statistics.
 4. Documents are read again. Each block's rows are joined with its part of the table,
    word by word in the order of their positions, so no text or position is shuffled.
 
+Buckets and shards follow the input's bytes, as the optimizer estimates them, so that
+what one task reads doesn't grow with the input up to ``MOST_BUCKETS``.
+
 A hot word costs one entry a block, not one a place, and a task holds the words of one
 block. The written table ends the lineage: a lost task reads it again.
 
@@ -28,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +43,11 @@ BLOCK_ROWS = 4096
 #: Words that a task holds before it hands a part of a block's list on, and encoded
 #: words that it keeps; past that it starts anew, at the price of encoding some again.
 WORDS_HELD, WORDS_KNOWN = 1_000_000, 1_000_000
-#: Buckets of words: as many as the session's shuffle partitions, between these.
-LEAST_BUCKETS, MOST_BUCKETS = 64, 8192
+#: Buckets of words: one for so many bytes of input, between these.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 128 << 20, 64, 8192
+#: Shards of the word table: one for so many bytes of input, at most so many; and the
+#: bytes of a shard's row groups, of which a block reads one or a few.
+SHARD_BYTES, MOST_SHARDS, GROUP_BYTES = 64 << 20, 16384, 4 << 20
 
 
 def load(path: str):
@@ -110,35 +118,49 @@ def _encoder(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def word_table(blocks: DataFrame, tokenizer: str) -> str:
-    """Writes (block, words, ids) by block for rows (block, text); the folder's URI."""
+def _bytes_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def word_table(blocks: DataFrame, tokenizer: str) -> tuple[str, int]:
+    """Writes (shard, block, words, ids) for rows (block, text); the folder's URI and the number of shards."""
     spark = blocks.sparkSession
     small_batches(spark)
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS), MOST_BUCKETS)
+    size = _bytes_of(blocks)
+    buckets = min(max(-(-size // BUCKET_BYTES), LEAST_BUCKETS), MOST_BUCKETS)
+    shards = min(max(-(-size // SHARD_BYTES), 1), MOST_SHARDS)
     listed = blocks.select("block", "text").mapInArrow(trimmed(_lister(buckets)), "bucket int, block long, words binary")
     coded = listed.repartition(buckets, "bucket").mapInArrow(trimmed(_encoder(tokenizer)), "block long, words binary, ids binary")
+    placed = coded.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "block")
     uri = shared_dir(spark)
-    coded.repartition("block").write.partitionBy("block").parquet(uri)
-    return uri
+    placed.write.option("parquet.block.size", GROUP_BYTES).partitionBy("shard").parquet(uri)
+    return uri, shards
 
 
-def _part_of_table(uri: str, block: int) -> dict[bytes, bytes]:
+def _part_of_table(uri: str, shards: int, block: int) -> dict[bytes, bytes]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, path = file_system(uri)
     out: dict[bytes, bytes] = {}
-    for f in store.get_file_info(fs.FileSelector(f"{path}/block={block}", allow_not_found=True)):
-        if f.path.endswith(".parquet"):
-            with store.open_input_file(f.path) as src:
-                for b in pq.ParquetFile(src).iter_batches(64, columns=["words", "ids"]):
-                    for words, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                        words, ids = _unpack(words).split(), _unpack(ids)
-                        ends = np.cumsum(np.frombuffer(ids, "<u4", len(words))) * 4 + 4 * len(words)
-                        at = 4 * len(words)
-                        for w, end in zip(words, ends.tolist(), strict=True):
-                            out[w] = ids[at:end]
-                            at = end
+    for f in store.get_file_info(fs.FileSelector(f"{path}/shard={block % shards}", allow_not_found=True)):
+        if not f.path.endswith(".parquet"):
+            continue
+        with store.open_input_file(f.path) as src:
+            table = pq.ParquetFile(src)
+            place = table.schema_arrow.get_field_index("block")
+            bounds = [table.metadata.row_group(k).column(place).statistics for k in range(table.num_row_groups)]
+            groups = [k for k, s in enumerate(bounds) if s is None or not s.has_min_max or s.min <= block <= s.max]
+            for b in table.iter_batches(64, row_groups=groups, columns=["block", "words", "ids"]) if groups else ():
+                b = b.filter(pc.equal(b.column(0), block))
+                for words, ids in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    words, ids = _unpack(words).split(), _unpack(ids)
+                    ends = np.cumsum(np.frombuffer(ids, "<u4", len(words))) * 4 + 4 * len(words)
+                    at = 4 * len(words)
+                    for w, end in zip(words, ends.tolist(), strict=True):
+                        out[w] = ids[at:end]
+                        at = end
     return out
 
 
@@ -147,7 +169,7 @@ def _joined(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, fields:
     at = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     block = F.xxhash64("__file", F.floor(F.col("__row") / BLOCK_ROWS).cast("long"))
     rows = at.select(block.alias("block"), "id", F.coalesce("text", F.lit("")).alias("text"))
-    uri = word_table(rows, tokenizer)
+    uri, shards = word_table(rows, tokenizer)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +182,7 @@ def _joined(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, fields:
                     words = text.split()
                     if block != now and words:
                         now, known = block, {}
-                        known = _part_of_table(uri, block)
+                        known = _part_of_table(uri, shards, block)
                     got.append(b"".join(map(known.__getitem__, words)))
                 yield pa.RecordBatch.from_arrays([b.column(1), *columns(got)], names=schema.names)
 
