@@ -13,8 +13,7 @@ warned of.
 
 A document's topic and token count are columns of the table where it has them. Else the
 tokens are words and an end mark, and topics are clusters: spherical k-means over hashed
-tf-idf vectors of a bounded sample of distinct texts, to which every document is then
-assigned.
+tf-idf vectors of all distinct texts, to which every document is then assigned.
 
 Sources may be many; languages and topics are few. So a source is a row that holds its
 cells, its factor follows from the row alone, and an iteration is one aggregate to a
@@ -27,7 +26,7 @@ from __future__ import annotations
 import warnings
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +37,10 @@ from pyspark.sql import types as T
 
 from tabularium.llm.common import materialize, trimmed
 
-#: Topics, dimensions of a text's vector, distinct texts that topics are fitted on, and rounds of the fit.
-TOPICS, DIMENSIONS, FITTED, FIT_ROUNDS = 8, 512, 2048, 25
+#: Topics, dimensions of a text's vector, and rounds of the fit.
+TOPICS, DIMENSIONS, FIT_ROUNDS = 8, 512, 25
+#: An entry of a text's vector, and the parts of one that sums of unit vectors are counted in.
+ENTRY, WHOLE = np.dtype([("at", "<u2"), ("w", "<f8")]), 1 << 24
 #: Cells of languages and topics, and sources whose factors are broadcast; more languages
 #: raise, more sources are joined by a shuffle.
 MOST_CELLS, MOST_BROADCAST = 100_000, 100_000
@@ -52,11 +53,25 @@ OFF = 1e-4
 SEED = 2024
 
 
-def word_vector(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Dimensions (by CRC32) and log(1 + count) of a text's distinct words of four bytes or more."""
+def word_vector(words: list[bytes]) -> np.ndarray:
+    """A text's entries (dimension by CRC32, sum of log(1 + count)) of its distinct words of four bytes or more."""
     own = Counter(w for w in words if len(w) > 3)
     at = np.fromiter((zlib.crc32(w) % DIMENSIONS for w in own), np.int64, len(own))
-    return at, np.log1p(np.fromiter(own.values(), float, len(own)))
+    v = np.bincount(at, weights=np.log1p(np.fromiter(own.values(), float, len(own))), minlength=DIMENSIONS)
+    out = np.empty(np.count_nonzero(v), ENTRY)
+    out["at"] = np.flatnonzero(v)
+    out["w"] = v[out["at"]]
+    return out
+
+
+def dense(vectors: pa.BinaryArray) -> np.ndarray:
+    """Rows of ``DIMENSIONS`` numbers of a column of vectors without nulls."""
+    out = np.zeros((len(vectors), DIMENSIONS))
+    if len(vectors):
+        ends = np.frombuffer(vectors.buffers()[1], "<i4")[vectors.offset : vectors.offset + len(vectors) + 1].astype(np.int64)
+        data = np.frombuffer(vectors.buffers()[2] or b"", ENTRY, (ends[-1] - ends[0]) // ENTRY.itemsize, ends[0])
+        out[np.repeat(np.arange(len(vectors)), np.diff(ends) // ENTRY.itemsize), data["at"]] = data["w"]
+    return out
 
 
 @dataclass
@@ -65,87 +80,130 @@ class Topics:
 
     weights: np.ndarray
 
-    def of(self, words: list[bytes]) -> int:
+    def of(self, vector: np.ndarray) -> int:
         """The nearest centroid's number; of equally near ones the lowest, so 0 for a text without words."""
-        at, x = word_vector(words)
-        return int((self.weights[:, at] @ x).round(9).argmax()) if len(at) else 0
-
-    def tokens_and_topic(self, text: bytes) -> tuple[int, int]:
-        words = text.split()
-        return len(words) + 1, self.of(words)
-
-
-def kmeans(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
-    """Centroids of unit length of the unit rows of ``x``; the first ones are drawn by distance from those before."""
-    rng = np.random.default_rng(SEED)
-    picks = [int((x @ x.sum(0)).argmax())]
-    far = 1 - x @ x[picks[0]]
-    while len(picks) < min(k, len(x)) and far.max() > 1e-9:
-        chance = np.clip(far, 0, None) ** 2
-        picks.append(int(rng.choice(len(x), p=chance / chance.sum())))
-        far = np.minimum(far, 1 - x @ x[picks[-1]])
-    centres = x[picks]
-    for _ in range(rounds):
-        own = (x @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        new = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-        if np.allclose(new, centres, atol=1e-9):
-            break
-        centres = new
-    return centres
+        return int((self.weights[:, vector["at"]] @ vector["w"]).round(9).argmax()) if len(vector) else 0
 
 
-def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, fitted: int = FITTED) -> Topics:
-    """Clusters of ``fitted`` distinct texts at most, those with the smallest hashes."""
-    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").select(F.xxhash64("text", F.lit(SEED)).alias("h"), "text")
-    n = texts.count()
-    if n > 4 * fitted:  # then about three times as many rows as are kept, as texts repeat
-        texts = texts.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < F.lit(3 * fitted / n))
+def units(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = x * idf
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def draws(h: np.ndarray, turn: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the hashes ``h`` and the turn alone."""
+    v = h.astype(np.int64).view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        v = (v ^ (v >> np.uint64(shift))) * np.uint64(times)
+    return ((v ^ (v >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows`` with a text ``v``: its vector in its place, its hash ``h`` (null: null), words and an end mark as ``words``."""
+    rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v", F.lit(SEED))))
+    place = rows.columns.index("v")
+    fields = [T.StructField(f.name, T.BinaryType()) if f.name == "v" else f for f in rows.schema.fields]
+    schema = T.StructType([*fields, T.StructField("words", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # about three times ``fitted`` hashes at most
         for b in batches:
-            new, rows = [], []
-            for h, x in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if h not in seen:
-                    seen.add(h)
-                    at, w = word_vector(x.split())
-                    new.append(h)
-                    rows.append(np.bincount(at, weights=w, minlength=DIMENSIONS).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array(rows, pa.binary())], names=["h", "v"])
-
-    # At most ``fitted`` vectors of 2 KB.
-    got = texts.mapInArrow(trimmed(run), "h long, v binary").groupBy("h").agg(F.min("v").alias("v")).orderBy(F.shiftrightunsigned("h", 11), "h").limit(fitted).collect()
-    x = np.array([np.frombuffer(r.v, "<f4") for r in got], float).reshape(-1, DIMENSIONS)
-    x = x[x.any(1)]
-    if not len(x):
+            words = [(t or b"").split() for t in b.column(place).cast(pa.binary()).to_pylist()]
+            cols = b.columns
+            cols[place] = pa.array([word_vector(w).tobytes() for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(w) + 1 for w in words], pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(trimmed(run), schema)
+
+
+def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> Topics:
+    """Clusters of all distinct texts."""
+    return fit_vectors(measured(docs.select(F.col(text_col).alias("v"))), topics)
+
+
+def fit_vectors(rows: DataFrame, topics: int = TOPICS) -> Topics:
+    """Spherical k-means over the distinct texts of ``measured`` rows that have a word in their vector.
+
+    Every pass reads all of them. What reaches the driver are sums by topic and dimension,
+    of whole numbers, so that they don't depend on how rows are dealt, and a row a draw.
+    """
+    texts = materialize(rows.where(F.col("h").isNotNull() & (F.length("v") > 0)).groupBy("h").agg(F.min("v").alias("v")))
+
+    def sums(of: Callable[[np.ndarray], np.ndarray], places: int) -> np.ndarray:
+        """The sum of whole numbers ``of`` (places, DIMENSIONS) over all slices of texts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((places, DIMENSIONS), np.int64)
+            for b in batches:
+                total += of(dense(b.column(0)))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+        out = np.zeros(places * DIMENSIONS, np.int64)
+        for r in texts.select("v").mapInArrow(trimmed(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = r.n
+        return out.reshape(places, DIMENSIONS)
+
+    def draw(idf: np.ndarray, centres: np.ndarray) -> np.ndarray | None:
+        """A text's unit vector, drawn by its distance from the centres to the power of 2; None if all lie on one.
+
+        Of exponential numbers at rates w the least is that of each row with chance w / sum(w).
+        """
+        turn = len(centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                h = b.column(0).to_numpy(zero_copy_only=False)
+                far = 1 - (units(dense(b.column(1)), idf) @ centres.T).max(1) if turn else np.ones(len(h))
+                key = np.where(far > 1e-9, -np.log(draws(h, turn)) / np.maximum(far, 1e-9).round(9) ** 2, np.inf)
+                k = np.lexsort((h, key))[0]
+                if key[k] < np.inf and (best is None or (key[k], h[k]) < best[:2]):
+                    best = key[k], h[k], b.column(1)[int(k)].as_py()
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.float64()), pa.array([best[1]], pa.int64()), pa.array([best[2]], pa.binary())], names=["key", "h", "v"])
+
+        got = texts.select("h", "v").mapInArrow(trimmed(run), "key double, h long, v binary").orderBy("key", "h").limit(1).collect()
+        return units(dense(pa.array([bytes(got[0].v)], pa.binary())), idf)[0] if got else None
+
+    n = texts.count()
+    if not n:
         return Topics(np.zeros((1, DIMENSIONS)))
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-    x = x * idf
-    return Topics(kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), topics) * idf)
+    idf = np.log((1 + n) / (1 + sums(lambda x: (x > 0).sum(0)[None], 1)[0])) + 1
+    centres = np.zeros((0, DIMENSIONS))
+    while len(centres) < topics and (new := draw(idf, centres)) is not None:
+        centres = np.vstack([centres, new])
+    for _ in range(FIT_ROUNDS):
+
+        def members(x: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
+            x = units(x, idf)
+            own = (x @ centres.T).round(9).argmax(1)
+            whole = np.rint(x * WHOLE)
+            return np.stack([whole[own == k].sum(0) for k in range(len(centres))]).astype(np.int64)
+
+        total = sums(members, len(centres)).astype(float)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        new = np.where(size > 0, total / np.maximum(size, 1e-12), centres)
+        if np.allclose(new, centres, atol=1e-9):
+            break
+        centres = new
+    return Topics(centres * idf)
 
 
-def with_cells(docs: DataFrame, text_col: str, topic: Column | None, tokens: Column | None, model: Topics | None) -> DataFrame:
-    """All columns of ``docs``, with ``tokens`` (long, at least 0) and ``topic`` (a string)."""
-    if model is None:
-        return docs.withColumns({"tokens": F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)), "topic": F.coalesce(topic.cast("string"), F.lit(""))})
-    place = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())])
+def with_topics(rows: DataFrame, model: Topics) -> DataFrame:
+    """``measured`` rows with ``topic`` (a string) in place of ``h`` and ``v``."""
+    rows = rows.drop("h")
+    place = rows.columns.index("v")
+    schema = T.StructType([T.StructField("topic", T.StringType()) if f.name == "v" else f for f in rows.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.tokens_and_topic(t or b"") for t in b.column(place).cast(pa.binary()).to_pylist()]
-            cols = [pa.array([x[0] for x in got], pa.int64()), pa.array([str(x[1]) for x in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
+            cols = b.columns
+            cols[place] = pa.array([str(model.of(np.frombuffer(v, ENTRY))) for v in b.column(place).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    out = docs.mapInArrow(trimmed(run), schema)
-    if topic is not None:
-        out = out.withColumn("topic", F.coalesce(topic.cast("string"), F.lit("")))
-    if tokens is not None:
-        out = out.withColumn("tokens", F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)))
-    return out
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def target_shares(tokens: np.ndarray, names: list, power: float, given: dict | None) -> np.ndarray:
@@ -368,13 +426,60 @@ def _chances(rows: DataFrame, mix: Mix) -> DataFrame:
     return rows.join(factors, "source", "left").withColumns({"weight": weight, "p": F.least(F.lit(1.0), chance)}).drop("factor_of", "chance_of")
 
 
+def _whole(tokens: Column) -> Column:
+    return F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0))
+
+
+def _named(name: Column) -> Column:
+    return F.coalesce(name.cast("string"), F.lit(""))
+
+
+def with_cells(docs: DataFrame, text_col: str, topic: Column | None, tokens: Column | None, model: Topics | None) -> DataFrame:
+    """All columns of ``docs``, with ``tokens`` (long, at least 0) and ``topic`` (a string)."""
+    if topic is not None and tokens is not None:
+        return docs.withColumns({"tokens": _whole(tokens), "topic": _named(topic)})
+    place = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [(t or b"").split() for t in b.column(place).cast(pa.binary()).to_pylist()]
+            topics = [str(model.of(word_vector(w))) if model else "" for w in words]
+            cols = [pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(topics, pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
+
+    out = docs.mapInArrow(trimmed(run), schema)
+    if topic is not None:
+        out = out.withColumn("topic", _named(topic))
+    if tokens is not None:
+        out = out.withColumn("tokens", _whole(tokens))
+    return out
+
+
 def _prepared(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topic_col: str | None, tokens_col: str | None, model: Topics | None) -> DataFrame:
     """The columns of ``docs`` as c0, c1, ..., which no name can clash with, and tokens, topic, source, lang."""
     at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     rows = docs.toDF(*at.values())
     pick = lambda c: F.col(at[c]) if c else None
     rows = with_cells(rows, at[text_col], pick(topic_col), pick(tokens_col), model)
-    return rows.withColumns({"source": F.coalesce(pick(source_col).cast("string"), F.lit("")), "lang": F.coalesce(pick(lang_col).cast("string"), F.lit(""))})
+    return rows.withColumns({"source": _named(pick(source_col)), "lang": _named(pick(lang_col))})
+
+
+def _cells(docs: DataFrame, about: tuple, more: Callable[[dict[str, Column]], list[Column]] = lambda at: []) -> tuple[DataFrame, Topics | None]:
+    """Source, lang, topic, tokens and ``more`` of every row, and the topics if they had to be fitted.
+
+    The fit and the cells share one pass over the texts, whose vectors are written first.
+    """
+    text_col, source_col, lang_col, topic_col, tokens_col = about
+    at = {c: F.col(f"c{k}") for k, c in enumerate(docs.columns)}
+    if topic_col:
+        return _prepared(docs, *about, None).select("source", "lang", "topic", "tokens", *more(at)), None
+    rows = docs.toDF(*(f"c{k}" for k in range(len(at))))
+    given = _whole(at[tokens_col]) if tokens_col else F.lit(None).cast("long")
+    rows = rows.select(_named(at[source_col]).alias("source"), _named(at[lang_col]).alias("lang"), given.alias("given"), at[text_col].alias("v"), *more(at))
+    rows = materialize(measured(rows))
+    model = fit_vectors(rows)
+    return with_topics(rows, model).withColumn("tokens", F.coalesce("given", "words")).drop("given", "words"), model
 
 
 def mix(
@@ -389,11 +494,9 @@ def mix(
     weight is the end mark's), a null or negative token count as 0. Rows with the same id
     are kept or dropped together. Other columns are ignored; an empty table gives no rows.
     """
-    model = fit_topics(docs, text_col) if not (topic_col and tokens_col) else None
     used = [c for c in dict.fromkeys((id_col, text_col, source_col, lang_col, topic_col, tokens_col)) if c]
-    rows = _prepared(docs.select(*used), text_col, source_col, lang_col, topic_col, tokens_col, model)
-    u = uniform(F.col("c0"), F.col(f"c{used.index(text_col)}"))
-    rows = materialize(rows.select(F.col("c0").alias("id"), "source", "lang", "topic", "tokens", u.alias("u")))
+    rows, _ = _cells(docs.select(*used), (text_col, source_col, lang_col, topic_col, tokens_col), lambda at: [at[id_col].alias("id"), uniform(at[id_col], at[text_col]).alias("u")])
+    rows = materialize(rows)
     fitted = rake(cells_of(rows), **targets)
     rows = rows.withColumns({"weight": F.lit(1.0), "p": F.lit(1.0)}) if fitted is None else _chances(rows, fitted)
     return rows.select(
@@ -410,9 +513,9 @@ def sample(
     Nulls, repeated rows and empty tables as in ``mix``. The documents aren't shuffled
     unless there are more than ``MOST_BROADCAST`` sources.
     """
-    model = fit_topics(docs, text_col) if not (topic_col and tokens_col) else None
     about = (text_col, source_col, lang_col, topic_col, tokens_col)
-    fitted = rake(cells_of(_prepared(docs.select(*(c for c in dict.fromkeys(about) if c)), *about, model).select("source", "lang", "topic", "tokens")), **targets)
+    cells, model = _cells(docs.select(*(c for c in dict.fromkeys(about) if c)), about)
+    fitted = rake(cells_of(cells), **targets)
     if fitted is None:
         return docs
     rows = _chances(_prepared(docs, *about, model), fitted)

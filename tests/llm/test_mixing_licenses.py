@@ -70,6 +70,30 @@ def test_topics_part_what_differs(spark):
     assert not any(groups[a] & groups[b] for a in range(3) for b in range(a))
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    """Brute force over 9,000 texts: document frequencies, unit centroids, each the mean of its members; copies and dealing change nothing."""
+    rng = np.random.default_rng(6)
+    kinds = [[f"{name}{k}" for k in range(30)] for name in ("cook", "ship", "note")]
+    texts = sorted({" ".join(rng.choice(kinds[i % 3], 12)) for i in range(9000)})
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:1] * 500]], "text string").repartition(3).cache()
+    weights = M.fit_topics(docs, topics=3).weights
+    assert np.array_equal(weights, M.fit_topics(docs.repartition(5), topics=3).weights)
+    x = np.zeros((len(texts), M.DIMENSIONS))
+    for row, t in zip(x, texts, strict=True):
+        words = t.encode().split()
+        for w in set(words):
+            row[zlib.crc32(w) % M.DIMENSIONS] += math.log1p(words.count(w))
+    idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(0))) + 1
+    centres = weights / idf
+    assert np.abs(np.linalg.norm(centres, axis=1) - 1).max() < 1e-9
+    x *= idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = (x @ centres.T).argmax(1)
+    sums = np.stack([x[own == k].sum(0) for k in range(3)])
+    assert np.abs(sums / np.linalg.norm(sums, axis=1, keepdims=True) - centres).max() < 1e-5
+    docs.unpersist()
+
+
 def test_given_topics_and_tokens(spark):
     df = spark.createDataFrame([(i, "x", "s", "en", ["a", "b", None][i % 3], [10, 20, None, -5][i % 4]) for i in range(120)], "doc_id long, text string, source string, lang string, about string, n int")
     rows = M.mix(df, topic_col="about", tokens_col="n", topic_shares={"a": 0.5}, share=0.3).collect()
