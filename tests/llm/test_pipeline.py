@@ -85,3 +85,20 @@ def test_empty_documents(spark):
 
 def test_stage_names():
     assert [n for n, _ in P.STAGES] == ["toxicity", "quality rules", "SimHash near-dedup", "mixing", "BPE"]
+
+
+def test_mixing_fits_topics_on_every_text(spark, monkeypatch):
+    """The pipeline's stage hands more texts than a sample ever held to the fit, with repeated texts and nulls."""
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('word', id % 8000, ' tail') AS text", "'en' AS lang", "'s' AS source", "10L AS n_chars")
+    docs = docs.unionByName(docs.limit(20).selectExpr("doc_id + 10000 AS doc_id", "CAST(NULL AS string) AS text", "lang", "source", "n_chars"))
+    seen = []
+
+    def fit(rows, topics=2):
+        texts = rows.where("h IS NOT NULL")
+        seen.append((rows.count(), texts.count(), texts.select("h").distinct().count()))
+        return mixing.Topics(np.eye(topics, mixing.DIMENSIONS))
+
+    monkeypatch.setattr(mixing, "fit_vectors", fit)
+    kept = P.mixed(spark, docs, SF)
+    assert kept.columns == docs.columns and 0 < kept.count() < 9020
+    assert seen == [(9020, 9000, 8000)]
