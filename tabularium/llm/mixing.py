@@ -39,11 +39,16 @@ from tabularium.llm.common import materialize, trimmed
 
 #: Topics, dimensions of a text's vector, and rounds of the fit.
 TOPICS, DIMENSIONS, FIT_ROUNDS = 8, 512, 25
-#: An entry of a text's vector, and the parts of one that sums of unit vectors are counted in.
+#: An entry of a text's vector, and of its unit vector in whole parts of one.
 ENTRY, WHOLE = np.dtype([("at", "<u2"), ("w", "<f8")]), 1 << 24
+PART = np.dtype([("at", "<u2"), ("w", "<i4")])
+#: Rows of a matrix product: so few that BLAS doesn't spread one over threads, which would wait for each other.
+PRODUCT_ROWS = 64
 #: Cells of languages and topics, and sources whose factors are broadcast; more languages
 #: raise, more sources are joined by a shuffle.
 MOST_CELLS, MOST_BROADCAST = 100_000, 100_000
+#: Sources times cells up to which the raking's rounds run on the driver (8 MB), by the same function as Spark's tasks.
+MOST_LOCAL = 1 << 20
 #: The power of a marginal's token shares that is its target, and the
 #: share of all tokens that the sample shall hold.
 POWER, SHARE = 0.7, 0.7
@@ -55,8 +60,8 @@ SEED = 2024
 
 def word_vector(words: list[bytes]) -> np.ndarray:
     """A text's entries (dimension by CRC32, sum of log(1 + count)) of its distinct words of four bytes or more."""
-    own = Counter(w for w in words if len(w) > 3)
-    at = np.fromiter((zlib.crc32(w) % DIMENSIONS for w in own), np.int64, len(own))
+    own = {w: n for w, n in Counter(words).items() if len(w) > 3}
+    at = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % DIMENSIONS
     v = np.bincount(at, weights=np.log1p(np.fromiter(own.values(), float, len(own))), minlength=DIMENSIONS)
     out = np.empty(np.count_nonzero(v), ENTRY)
     out["at"] = np.flatnonzero(v)
@@ -64,16 +69,27 @@ def word_vector(words: list[bytes]) -> np.ndarray:
     return out
 
 
-def dense(vectors: pa.BinaryArray) -> np.ndarray:
-    """Rows of ``DIMENSIONS`` numbers of a column of vectors without nulls."""
-    out = np.zeros((len(vectors), DIMENSIONS))
-    if len(vectors):
-        ends = np.frombuffer(vectors.buffers()[1], "<i4")[vectors.offset : vectors.offset + len(vectors) + 1].astype(np.int64)
-        data = np.frombuffer(vectors.buffers()[2] or b"", ENTRY, (ends[-1] - ends[0]) // ENTRY.itemsize, ends[0])
-        out[np.repeat(np.arange(len(vectors)), np.diff(ends) // ENTRY.itemsize), data["at"]] = data["w"]
+def flat(vectors: pa.BinaryArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of vectors without nulls: entries of each, and all entries' dimensions and numbers."""
+    if not len(vectors):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    ends = np.frombuffer(vectors.buffers()[1], "<i4")[vectors.offset : vectors.offset + len(vectors) + 1].astype(np.int64)
+    data = np.frombuffer(vectors.buffers()[2] or b"", kind, (ends[-1] - ends[0]) // kind.itemsize, ends[0])
+    return np.diff(ends) // kind.itemsize, data["at"].astype(np.int64), data["w"].astype(float)
+
+
+def dense(n: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows of ``DIMENSIONS`` numbers of ``flat`` vectors."""
+    out = np.zeros((len(n), DIMENSIONS))
+    out.ravel()[np.repeat(np.arange(len(n)) * DIMENSIONS, n) + at] = w
     return out
 
 
+def nearness(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """``x @ centres.T`` in one thread."""
+    return np.concatenate([x[k : k + PRODUCT_ROWS] @ centres.T for k in range(0, len(x), PRODUCT_ROWS)] or [np.zeros((0, len(centres)))])
+
+
 @dataclass
 class Topics:
     """Centroids (topic, dimension) of unit length, already times the inverse document frequencies."""
@@ -85,8 +101,21 @@ class Topics:
         return int((self.weights[:, vector["at"]] @ vector["w"]).round(9).argmax()) if len(vector) else 0
 
 
-def units(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = x * idf
+def unit_parts(vectors: pa.BinaryArray, idf: np.ndarray) -> pa.BinaryArray:
+    """Vectors with entries, times the inverse document frequencies and of unit length, in whole parts."""
+    n, at, w = flat(vectors, ENTRY)
+    if not len(n):
+        return vectors
+    w = w * idf[at]
+    starts = np.cumsum(n) - n
+    out = np.empty(len(w), PART)
+    out["at"] = at
+    out["w"] = np.rint(w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), n) * WHOLE)
+    ends = (np.append(starts, len(w)) * PART.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(out.tobytes())])
+
+
+def normed(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -125,16 +154,18 @@ def fit_vectors(rows: DataFrame, topics: int = TOPICS) -> Topics:
 
     Every pass reads all of them. What reaches the driver are sums by topic and dimension,
     of whole numbers, so that they don't depend on how rows are dealt, and a row a draw.
+    Once document frequencies are known, unit vectors are written in whole parts, so that
+    the passes after that only multiply and add.
     """
     texts = materialize(rows.where(F.col("h").isNotNull() & (F.length("v") > 0)).groupBy("h").agg(F.min("v").alias("v")))
 
-    def sums(of: Callable[[np.ndarray], np.ndarray], places: int) -> np.ndarray:
+    def sums(of: Callable[[pa.BinaryArray], np.ndarray], places: int) -> np.ndarray:
         """The sum of whole numbers ``of`` (places, DIMENSIONS) over all slices of texts."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((places, DIMENSIONS), np.int64)
             for b in batches:
-                total += of(dense(b.column(0)))
+                total += of(b.column(0))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
 
@@ -143,7 +174,7 @@ def fit_vectors(rows: DataFrame, topics: int = TOPICS) -> Topics:
             out[r["at"]] = r.n
         return out.reshape(places, DIMENSIONS)
 
-    def draw(idf: np.ndarray, centres: np.ndarray) -> np.ndarray | None:
+    def draw(centres: np.ndarray) -> np.ndarray | None:
         """A text's unit vector, drawn by its distance from the centres to the power of 2; None if all lie on one.
 
         Of exponential numbers at rates w the least is that of each row with chance w / sum(w).
@@ -156,7 +187,7 @@ def fit_vectors(rows: DataFrame, topics: int = TOPICS) -> Topics:
                 if not b.num_rows:
                     continue
                 h = b.column(0).to_numpy(zero_copy_only=False)
-                far = 1 - (units(dense(b.column(1)), idf) @ centres.T).max(1) if turn else np.ones(len(h))
+                far = 1 - nearness(normed(dense(*flat(b.column(1), PART))), centres).max(1) if turn else np.ones(len(h))
                 key = np.where(far > 1e-9, -np.log(draws(h, turn)) / np.maximum(far, 1e-9).round(9) ** 2, np.inf)
                 k = np.lexsort((h, key))[0]
                 if key[k] < np.inf and (best is None or (key[k], h[k]) < best[:2]):
@@ -165,22 +196,27 @@ def fit_vectors(rows: DataFrame, topics: int = TOPICS) -> Topics:
                 yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.float64()), pa.array([best[1]], pa.int64()), pa.array([best[2]], pa.binary())], names=["key", "h", "v"])
 
         got = texts.select("h", "v").mapInArrow(trimmed(run), "key double, h long, v binary").orderBy("key", "h").limit(1).collect()
-        return units(dense(pa.array([bytes(got[0].v)], pa.binary())), idf)[0] if got else None
+        return normed(dense(*flat(pa.array([bytes(got[0].v)], pa.binary()), PART)))[0] if got else None
 
     n = texts.count()
     if not n:
         return Topics(np.zeros((1, DIMENSIONS)))
-    idf = np.log((1 + n) / (1 + sums(lambda x: (x > 0).sum(0)[None], 1)[0])) + 1
+    idf = np.log((1 + n) / (1 + sums(lambda v: np.bincount(flat(v, ENTRY)[1], minlength=DIMENSIONS)[None], 1)[0])) + 1
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), unit_parts(b.column(1), idf)], names=["h", "v"])
+
+    texts = materialize(texts.select("h", "v").mapInArrow(trimmed(parts), "h long, v binary"))
     centres = np.zeros((0, DIMENSIONS))
-    while len(centres) < topics and (new := draw(idf, centres)) is not None:
+    while len(centres) < topics and (new := draw(centres)) is not None:
         centres = np.vstack([centres, new])
     for _ in range(FIT_ROUNDS):
 
-        def members(x: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
-            x = units(x, idf)
-            own = (x @ centres.T).round(9).argmax(1)
-            whole = np.rint(x * WHOLE)
-            return np.stack([whole[own == k].sum(0) for k in range(len(centres))]).astype(np.int64)
+        def members(v: pa.BinaryArray, centres: np.ndarray = centres) -> np.ndarray:
+            n, at, w = flat(v, PART)
+            own = (nearness(dense(n, at, w), centres) / WHOLE).round(9).argmax(1)
+            return np.bincount(np.repeat(own * DIMENSIONS, n) + at, weights=w, minlength=centres.size).astype(np.int64).reshape(centres.shape)
 
         total = sums(members, len(centres)).astype(float)
         size = np.linalg.norm(total, axis=1, keepdims=True)
@@ -241,6 +277,52 @@ def _lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
+def matrix(batch: pa.RecordBatch, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (n, want, cells of k and n): a row of ``places`` token counts each, their sums, the wanted tokens."""
+    cells = batch.column(2)
+    inner = cells.flatten()
+    out = np.zeros((batch.num_rows, places))
+    rows = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
+    out[rows, inner.field("k").to_numpy(zero_copy_only=False)] = inner.field("n").to_numpy(zero_copy_only=False)
+    return out, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+
+
+class Folds:
+    """Sums over the table of sources (n, want, cells), ``places`` pairs of language and topic each.
+
+    Up to ``MOST_LOCAL`` numbers are read once and summed on the driver, as a Spark job a
+    round costs more than the sum; more are summed by Spark's tasks, slice by slice. The
+    functions summed are the same.
+    """
+
+    def __init__(self, sources: DataFrame, count: int, places: int):
+        self.rows, self.places, self.slice = sources.select("n", "want", "cells"), places, max(1, MOST_LOCAL // places)
+        self.own = None
+        if count * places <= MOST_LOCAL:
+            self.own = [matrix(b, places) for b in self.rows.toArrow().combine_chunks().to_batches()]
+
+    def __call__(self, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum of ``of`` (token counts, their sums, the wanted tokens) over all sources."""
+        if self.own is not None:
+            return sum(of(*x) for x in self.own)
+        places = self.places
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    new = of(*matrix(b, places))
+                    total = new if total is None else total + new
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "x"])
+
+        got = self.rows.mapInArrow(trimmed(run, self.slice), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        out = np.zeros(len(got))
+        for r in got:
+            out[r["at"]] = r.x
+        return out
+
+
 def rake(cells: DataFrame, share: float = SHARE, power: float = POWER, source_shares: dict | None = None, lang_shares: dict | None = None, topic_shares: dict | None = None) -> Mix | None:
     """Fits (source, lang, topic, n) token counts to the marginals' targets; None without cells.
 
@@ -261,31 +343,24 @@ def rake(cells: DataFrame, share: float = SHARE, power: float = POWER, source_sh
     want_t = target_shares(tokens.sum(0), topics, power, topic_shares) * total
 
     by_source = cells.groupBy("source").agg(
-        F.collect_list(F.struct(_lookup(at_l, F.col("lang")).alias("l"), _lookup(at_t, F.col("topic")).alias("t"), F.col("n").cast("double").alias("n"))).alias("cells"),
+        F.collect_list(F.struct((_lookup(at_l, F.col("lang")) * len(topics) + _lookup(at_t, F.col("topic"))).alias("k"), F.col("n").cast("double").alias("n"))).alias("cells"),
         F.sum("n").cast("double").alias("n"),
     )
     given = {k: float(v) for k, v in (source_shares or {}).items()}
     fixed = _lookup(given, F.col("source")) if given else F.lit(None).cast("double")
     by_source = by_source.withColumn("given", fixed).withColumn("tempered", F.when(F.col("given").isNull(), F.pow("n", F.lit(power))).otherwise(0.0))
     by_source = materialize(by_source)
-    free, taken = by_source.agg(F.sum("tempered"), F.coalesce(F.sum("given"), F.lit(0.0))).first()
+    free, taken, count = by_source.agg(F.sum("tempered"), F.coalesce(F.sum("given"), F.lit(0.0)), F.count(F.lit(1))).first()
     left = max(0.0, 1 - taken)
     whole = taken + (left if free else 0.0)
     want_s = F.coalesce("given", F.col("tempered") * left / max(free, 1e-300)) * total / whole
+    by_source = by_source.select("source", "n", "cells", want_s.alias("want"))
+    folds = Folds(by_source, count, tokens.size)
 
     b, c = np.ones(len(langs)), np.ones(len(topics))
-
-    def factor() -> Column:
-        fl, ft = F.lit(b.tolist()), F.lit(c.tolist())
-        inside = F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["n"] * F.get(fl, x["l"]) * F.get(ft, x["t"]))
-        return want_s / inside
-
     error, done = np.inf, 0
     for done in range(1, ROUNDS + 1):  # noqa: B007
-        rows = by_source.select(F.explode("cells").alias("x"), factor().alias("a")).groupBy("x.l", "x.t").agg(F.sum(F.col("a") * F.col("x.n")).alias("m")).collect()
-        m = np.zeros_like(tokens)
-        for r in rows:
-            m[r.l, r.t] = r.m
+        m = folds(lambda n, have, want, g=np.outer(b, c).ravel(): (want / (n @ g)) @ n).reshape(tokens.shape)
         # With this round's source factors the sources fit; how far are the others off?
         now = m * b[:, None] * c[None, :]
         error = max(np.abs(now.sum(1) - want_l).max(), np.abs(now.sum(0) - want_t).max()) / total
@@ -293,8 +368,10 @@ def rake(cells: DataFrame, share: float = SHARE, power: float = POWER, source_sh
             break
         b = want_l / np.maximum(m @ c, 1e-300)
         c = want_t / np.maximum(b @ m, 1e-300)
-    sources = materialize(by_source.select("source", factor().alias("factor"), "cells", "n", (want_s / total).alias("share")))
-    g = F.col("factor") * F.get(F.lit(b.tolist()), F.col("x.l")) * F.get(F.lit(c.tolist()), F.col("x.t"))
+    g_of = F.lit(np.outer(b, c).ravel().tolist())
+    inside = F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["n"] * F.get(g_of, x["k"]))
+    sources = materialize(by_source.withColumn("factor", F.col("want") / inside))
+    g = F.col("factor") * F.get(g_of, F.col("x.k"))
     # Cells by their factors, in bins of a thousandth: enough to set the scale.
     bins = sources.select("factor", F.explode("cells").alias("x")).select(F.floor(F.log(g) * 1000).cast("long").alias("bin"), g.alias("g"), F.col("x.n").alias("n"))
     bins = bins.groupBy("bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("g")).alias("w"), F.max("g").alias("most")).collect()
@@ -302,7 +379,7 @@ def rake(cells: DataFrame, share: float = SHARE, power: float = POWER, source_sh
     scale, most = scale_for(n, w, share * total), max((r.most for r in bins if r.most is not None), default=0.0)
     b2, c2, off, chances = b, c, float(error), sources.select("source", "factor", (F.col("factor") * scale).alias("chance"))
     if scale * most > 1 and share < 1:
-        chances, b2, c2, off = bounded(sources, tokens, want_l / total, want_t / total, share * total, b, c)
+        chances, b2, c2, off = bounded(sources, folds, tokens, want_l / total, want_t / total, share * total, b, c)
     if not max(off, float(error)) <= OFF:
         warnings.warn(f"mixing misses targets: the raked weights by {error:.2g}, the sample by {off:.2g} of its tokens", stacklevel=2)
     named = lambda keys, x: dict(zip(keys, x.tolist(), strict=True))
@@ -317,60 +394,64 @@ def reachable(have: np.ndarray, shares: np.ndarray, wanted: float) -> np.ndarray
     return out
 
 
-def _source_scale(sources: DataFrame, wanted: float) -> float:
+def _source_scale(folds: Folds, total: float, wanted: float) -> float:
     """``scale_for`` over the table of sources: Newton steps, which approach it from below."""
     s = wanted
     for _ in range(ROUNDS):
-        full = F.col("share") * s >= F.col("n")
-        taken, rest = sources.agg(F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("share"))), F.lit(0.0))).first()
+
+        def full(n: np.ndarray, have: np.ndarray, want: np.ndarray, s: float = s) -> np.ndarray:
+            whole = want / total * s >= have
+            return np.array([have[whole].sum(), want[~whole].sum() / total])
+
+        taken, rest = folds(full)
         if rest <= 0 or abs(new := (wanted - taken) / rest) <= s * (1 + 1e-12):
             break
         s = new
     return s
 
 
-def _filled(cells: Column, wanted: Column) -> Column:
-    """The a with sum(n * min(1, a * g)) = wanted over cells (g, n): those with the largest g are full first."""
-    by = F.array_sort(F.filter(cells, lambda x: x["g"] > 0), lambda x, y: F.when(x["g"] > y["g"], -1).when(x["g"] < y["g"], 1).otherwise(0))
-    rest = F.aggregate(cells, F.lit(0.0), lambda s, x: s + x["g"] * x["n"])
-    start = F.named_struct(F.lit("left"), wanted, F.lit("rest"), rest, F.lit("a"), F.lit(None).cast("double"))
-
-    def step(s: Column, x: Column) -> Column:
-        a = s["left"] / s["rest"]
-        fits = s["a"].isNull() & (s["rest"] > 0) & (a * x["g"] <= 1)
-        return F.named_struct(F.lit("left"), s["left"] - x["n"], F.lit("rest"), s["rest"] - x["g"] * x["n"], F.lit("a"), F.coalesce(s["a"], F.when(fits, a)))
+def filled(n: np.ndarray, g: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each row of ``n`` the a with sum(n * min(1, a * g)) = wanted: its cells with the largest g are full first."""
+    by = np.argsort(-g, kind="stable")
+    by = by[g[by] > 0]
+    n, g = n[:, by], g[by]
+    left = wanted[:, None] - (np.cumsum(n, 1) - n)
+    rest = np.cumsum((n * g)[:, ::-1], 1)[:, ::-1]
+    a = left / np.maximum(rest, 1e-300)
+    fits = (rest > 0) & (a * g <= 1) & (n > 0)
+    least = np.where(n > 0, g, np.inf).min(1, initial=np.inf)
+    first = np.take_along_axis(a, fits.argmax(1)[:, None], 1)[:, 0] if len(g) else np.zeros(len(n))
+    return np.where(fits.any(1), first, 1 / least)
 
-    least = F.array_min(F.transform(F.filter(cells, lambda x: x["g"] > 0), lambda x: x["g"]))
-    return F.coalesce(F.aggregate(by, start, step)["a"], 1 / least, F.lit(0.0))
 
-
-def bounded(sources: DataFrame, tokens: np.ndarray, share_l: np.ndarray, share_t: np.ndarray, wanted: float, b: np.ndarray, c: np.ndarray):
+def bounded(sources: DataFrame, folds: Folds, tokens: np.ndarray, share_l: np.ndarray, share_t: np.ndarray, wanted: float, b: np.ndarray, c: np.ndarray):
     """Chances of at most 1 whose expected sample of ``wanted`` tokens meets the marginals' shares.
 
-    ``sources`` has (source, factor, cells, n, share). A round fits each source's chance
+    ``sources`` has (source, factor, n, want, cells). A round fits each source's chance
     exactly, then moves languages and topics by a Newton step: the tokens of full cells are
     taken off the target and the rest is raked. Returns the table with each source's
     chance, the factors of languages and topics, and the largest miss as a share of the sample.
     """
     want_l, want_t = reachable(tokens.sum(1), share_l, wanted), reachable(tokens.sum(0), share_t, wanted)
-    by = _source_scale(sources, wanted)
-    want_s = F.least(F.col("n"), F.col("share") * by)
-    miss = sources.agg(F.max(F.abs(want_s - F.col("share") * wanted))).first()[0]
+    total, places = tokens.sum(), tokens.size
+    by = _source_scale(folds, total, wanted)
+    miss = sources.agg(F.max(F.abs(F.least(F.col("n"), F.col("want") / total * by) - F.col("want") / total * wanted))).first()[0]
     lost = max(miss, np.abs(want_l - share_l * wanted).max(), np.abs(want_t - share_t * wanted).max()) / wanted
 
-    def chance() -> Column:
-        fl, ft = F.lit(b.tolist()), F.lit(c.tolist())
-        return _filled(F.transform("cells", lambda x: F.named_struct(F.lit("g"), F.get(fl, x["l"]) * F.get(ft, x["t"]), F.lit("n"), x["n"])), want_s)
+    def chance(n: np.ndarray, have: np.ndarray, want: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return filled(n, g, np.minimum(have, want / total * by))
 
     off = np.inf
     best = None
     for _ in range(ROUNDS):
-        g = F.get(F.lit(b.tolist()), F.col("x.l")) * F.get(F.lit(c.tolist()), F.col("x.t"))
-        cells = sources.select(F.explode("cells").alias("x"), chance().alias("a")).select("x.l", "x.t", "x.n", "a", (F.col("a") * g >= 1).alias("full"))
-        rows = cells.groupBy("l", "t").agg(F.sum(F.when(F.col("full"), F.col("n")).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("n") * F.col("a"))).alias("m")).collect()
-        full, rest = np.zeros_like(tokens), np.zeros_like(tokens)
-        for r in rows:
-            full[r.l, r.t], rest[r.l, r.t] = r.s, r.m
+
+        def parted(n: np.ndarray, have: np.ndarray, want: np.ndarray, g: np.ndarray = np.outer(b, c).ravel()) -> np.ndarray:
+            """Tokens of the full cells, then of the others times their source's chance."""
+            a = chance(n, have, want, g)
+            whole = a[:, None] * g >= 1
+            return np.concatenate([np.where(whole, n, 0).sum(0), a @ np.where(whole, 0, n)])
+
+        full, rest = folds(parted).reshape(2, *tokens.shape)
         now = full + rest * b[:, None] * c[None, :]
         off = max(np.abs(now.sum(1) - want_l).max(), np.abs(now.sum(0) - want_t).max()) / wanted
         if best is None or off < best[0]:
@@ -387,7 +468,14 @@ def bounded(sources: DataFrame, tokens: np.ndarray, share_l: np.ndarray, share_t
         now = full + rest * b[:, None] * c[None, :]
         c = moved(c, want_t, full.sum(0), b @ rest, now.sum(0))
     off, b, c = best
-    return materialize(sources.select("source", "factor", chance().alias("chance"))), b, c, float(max(off, lost))
+    g = np.outer(b, c).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([x.column(3), x.column(4), pa.array(chance(*matrix(x, places), g))], names=["source", "factor", "chance"])
+
+    chances = sources.select("n", "want", "cells", "source", "factor").mapInArrow(trimmed(run, folds.slice), "source string, factor double, chance double")
+    return materialize(chances), b, c, float(max(off, lost))
 
 
 def scale_for(n: np.ndarray, w: np.ndarray, wanted: float) -> float:

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabularium.llm import licenses as L
@@ -146,6 +147,47 @@ def test_sample_meets_targets_where_chances_are_bounded(spark):
         assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_rounds_on_the_driver_and_in_tasks_agree(spark, monkeypatch):
+    """Raking and bounded raking start few jobs where sources are few; where they are many, tasks give the same weights and chances."""
+    rng = np.random.default_rng(4)
+    cells = [(f"s{s}", lang, t, int(rng.integers(20, 60) * w * (40 if s == 0 else 1))) for s in range(20) for lang, w in (("en", 12), ("fr", 2), ("es", 1)) for t in "0123" if (s, lang, t) != (3, "fr", "1")]
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, n long")
+    got = []
+    for most in (M.MOST_LOCAL, 0):
+        monkeypatch.setattr(M, "MOST_LOCAL", most)
+        spark.sparkContext.setJobGroup(f"rake{most}", "")
+        fitted = M.rake(table)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rake{most}"))
+        assert not most or jobs < 40
+        row = {r.source: r for r in fitted.sources.collect()}
+        got.append([x for s, g, t, _ in cells for x in (row[s].factor * fitted.langs[g] * fitted.topics[t], min(1.0, row[s].chance * fitted.lang_chances[g] * fitted.topic_chances[t]))])
+    spark.sparkContext._jsc.clearJobGroup()
+    assert got[0] == pytest.approx(got[1], rel=1e-6) and sum(x == 1.0 for x in got[0]) > 5
+
+
+def test_filled_rows_take_what_is_wanted():
+    n = np.array([[10.0, 0.0, 5.0, 20.0], [1.0, 1.0, 1.0, 1.0], [0.0, 0.0, 7.0, 0.0], [3.0, 4.0, 0.0, 0.0]])
+    g = np.array([0.5, 2.0, 0.1, 4.0])
+    for part in (0.0, 0.2, 0.7, 0.999, 1.0):
+        a = M.filled(n, g, part * n.sum(1))
+        assert (n * np.minimum(1, a[:, None] * g)).sum(1) == pytest.approx(part * n.sum(1))
+    assert M.filled(n, np.zeros(4), n.sum(1)).tolist() == [0.0] * 4
+
+
+def test_unit_vectors_in_whole_parts():
+    """Also of a slice; what is written is the unit vector up to half a part, and products don't depend on their slices."""
+    rng = np.random.default_rng(2)
+    words = [[f"word{k}".encode() for k in rng.integers(0, 900, n)] for n in (1, 40, 700, 3, 200)]
+    vectors = pa.array([M.word_vector(w).tobytes() for w in words], pa.binary())
+    idf = 1 + rng.random(M.DIMENSIONS)
+    x = M.dense(*M.flat(vectors, M.ENTRY)) * idf
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.array_equal(M.dense(*M.flat(M.unit_parts(vectors, idf), M.PART)), np.rint(x * M.WHOLE))
+    assert M.unit_parts(vectors.slice(2, 2), idf) == M.unit_parts(vectors, idf).slice(2, 2)
+    many = rng.random((2 * M.PRODUCT_ROWS + 5, M.DIMENSIONS))
+    assert np.allclose(M.nearness(many, x), many @ x.T, atol=1e-12) and M.nearness(many[:0], x).shape == (0, 5)
+
+
 def test_unreachable_targets_are_reported(spark):
     cells = spark.createDataFrame([("a", "en", "0", 900), ("a", "fr", "0", 100)], "source string, lang string, topic string, n long")
     with pytest.warns(UserWarning, match="misses targets"):
